@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ftrl
+from tidemark.llm import ftrl, linedup, mixture
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,21 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
+    "op4_line_dedup": op4_line_dedup,
+    "op6_mixture": op6_mixture,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": linedup.ORACLE,
+    "op6_mixture": mixture.ORACLE,
+}
