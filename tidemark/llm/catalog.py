@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ftrl, linedup, mixture
+from tidemark.llm import exact, ftrl, linedup, mixture
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,13 +24,19 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
     "op4_line_dedup": op4_line_dedup,
     "op6_mixture": op6_mixture,
+    "op7_exact_dedup": op7_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": linedup.ORACLE,
     "op6_mixture": mixture.ORACLE,
+    "op7_exact_dedup": exact.ORACLE,
 }
