@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact, ftrl, linedup, mixture
+from tidemark.llm import bpe, exact, ftrl, jaccard, linedup, mixture
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,11 +28,21 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
     "op4_line_dedup": op4_line_dedup,
+    "op5_bpe": op5_bpe,
     "op6_mixture": op6_mixture,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {

@@ -155,8 +155,8 @@ def combined(chunks: DataFrame) -> DataFrame:
     return total.select("doc_id", "__uid", "sha", "__len", (F.shiftleft("a", 31) + F.col("b")).alias("__f1"), (F.shiftleft("c", 31) + F.col("d")).alias("__f2"))
 
 
-def bloom_of(repeated: DataFrame, bits: int) -> np.ndarray:
-    """The Bloom filter of the repeated fingerprints: 8 partial bitmaps of ``bits`` bits come to the driver."""
+def bloom_filter(repeated: DataFrame, bits: int) -> np.ndarray:
+    """The Bloom filter of fingerprints: 8 partial bitmaps of ``bits`` bits come to the driver."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = np.zeros(bits, bool)
@@ -179,7 +179,7 @@ def slots(length: np.ndarray, f1: np.ndarray, f2: np.ndarray, bits: int) -> tupl
 
 def mismatched(docs: DataFrame, repeated: DataFrame, bits: int) -> DataFrame:
     """Fingerprints whose texts differ in some chunk."""
-    packed_field = np.packbits(bloom_of(repeated, bits))
+    packed_field = np.packbits(bloom_filter(repeated, bits))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = np.unpackbits(packed_field).astype(bool)
