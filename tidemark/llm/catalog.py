@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact, ftrl, jaccard, linedup, mixture
+from tidemark.llm import bpe, crf, exact, ftrl, jaccard, linedup, mixture, toxicity
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,13 +40,19 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_line_crf": op1_line_crf,
     "op2_quality": op2_quality,
     "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
     "op6_mixture": op6_mixture,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {
