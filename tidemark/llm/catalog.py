@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, crf, exact, ftrl, jaccard, linedup, mixture, toxicity
+from tidemark.llm import bpe, crf, exact, ftrl, jaccard, linedup, mixture, secrets, toxicity, urls
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.digest(table(spark, sf_dir, "pages"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.digest(table(spark, sf_dir, "documents"))
 
@@ -44,18 +48,25 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_crf": op1_line_crf,
     "op2_quality": op2_quality,
+    "op3_url_filter": op3_url_filter,
     "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
     "op6_mixture": op6_mixture,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity": op9_toxicity,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_url_filter": urls.ORACLE,
     "op4_line_dedup": linedup.ORACLE,
     "op6_mixture": mixture.ORACLE,
     "op7_exact_dedup": exact.ORACLE,
