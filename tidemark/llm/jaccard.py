@@ -6,13 +6,16 @@ then by hash; the first n - ceil(t n) + 1 shingles are the prefix, and two sets
 least t share one.
 
 1. Documents with equal sets are collapsed to one set, and sets of one size and prefix to one group.
-2. Groups that share a prefix token are candidates.  Only the links of each group to the least group of
-   the token are made, never all pairs; their components bound where true links can lie.
-3. A component's sets are fetched, and cut into blocks if they are more than ``block``.  In each block, with a few
-   pivots that all blocks share, the overlaps of one set with all others are counted at once, until every set
-   that isn't counted lies in one class.
-4. Where a component of several blocks is then still in parts, every set outside its largest part is counted
-   against every block.  So no link between different texts is lost, and no pairs are written out.
+2. Groups that share many prefix tokens with a leader of a token's list are put in one cluster; only the links
+   of each group to a few leaders are made, never all pairs of a list.
+3. Group pairs of different clusters are filtered by size and by the number of prefix tokens they share: with that,
+   and the shingles after the prefix that ends first, the overlap needed must be within reach.  The pairs that
+   pass join their clusters to candidate components, outside of which no true link can lie.
+4. A component's texts are fetched, and cut into blocks if they hold more than ``block`` shingles.  In each block,
+   with a few pivots that all blocks share, the overlaps of one set with all others are counted at once, until
+   every set that isn't counted lies in one class.
+5. Where a component of several blocks is then still in parts, every set outside its largest part is counted
+   against every block.  So no link between different texts is lost, and no verified pairs are written out.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; equal texts
 are linked; ``component_id`` is the smallest doc_id of the class.  Extra columns pass through.
@@ -21,6 +24,7 @@ are linked; ``component_id`` is the smallest doc_id of the class.  Extra columns
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,26 +75,31 @@ def counts(docs: DataFrame, k: int, bits: int) -> np.ndarray:
                 low = K.Piece(p.lo, p.hi, K.LOWER[p.data], p.off)
                 start, end, first = K.words(low)
                 grams, _ = K.shingles(K.hash_spans(low.data, start, end), first, k)
-                total += np.bincount((grams >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
-        parts = [total[i : i + width] for i in range(0, 1 << bits, width)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.astype(np.int64).tobytes() for x in parts], pa.binary())], names=["block", "n"])
+                np.add.at(total, (grams >> U(64 - bits)).astype(np.int64), 1)
+        parts = [zlib.compress(total[i : i + width].tobytes(), 1) for i in range(0, 1 << bits, width)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["block", "n"])
+
+    def vector(raw: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(raw), np.int64)
 
     def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in rows["n"].combine_chunks())
-        return pa.table({"block": pa.array([rows["block"][0].as_py()], pa.int32()), "part": pa.array([rows["part"][0].as_py()], pa.int32()), "n": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros(width, np.int64)
+        for x in rows["n"].combine_chunks():
+            total += vector(x.as_py())
+        return pa.table({"block": pa.array([rows["block"][0].as_py()], pa.int32()), "part": pa.array([rows["part"][0].as_py()], pa.int32()), "n": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     rows = docs.select("text").mapInArrow(count, "block int, n binary").withColumn("part", F.spark_partition_id())
     for _ in range(max(1, math.ceil(math.log(max(2, docs.rdd.getNumPartitions()), FAN)))):
         rows = rows.withColumn("part", (F.col("part") / FAN).cast("int")).groupBy("block", "part").applyInArrow(add, "block int, part int, n binary")
     total = np.zeros(1 << bits, np.int64)
-    for row in rows.collect():
-        total[row["block"] * width : (row["block"] + 1) * width] += np.frombuffer(row["n"], np.int64)
+    for row in rows.toLocalIterator():
+        total[row["block"] * width : (row["block"] + 1) * width] += vector(bytes(row["n"]))
     return total
 
 
 def index(docs: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
     """One row for each document: its size, set key, group and prefix; settled."""
-    rank = np.floor(np.log2(counts(docs, k, bits) + 1)).astype(np.uint8)
+    rank = np.minimum(np.log2(counts(docs, k, bits) + 1), 31).astype(np.uint8)
     t1, t2 = hash128(F.coalesce(F.col("text"), F.lit("")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,12 +124,49 @@ def index(docs: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
     return settle(docs.select("doc_id", t1.alias("t1"), t2.alias("t2"), "text").mapInArrow(scan, fields))
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """(gid, root): components of groups that share a prefix token."""
-    groups = rows.where("n > 0").groupBy("gid").agg(F.first("prefix").alias("prefix"))
-    tokens = groups.select("gid", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("gid").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "lead")
-    return components(tokens.join(shared, "token").select(F.col("gid").alias("a"), F.col("lead").alias("b")))
+def shared_tokens(rows: DataFrame) -> DataFrame:
+    """(token, gid, n, last) of the groups' prefix tokens that two groups or more have; ``last`` ends the prefix."""
+    groups = rows.where("n > 0").groupBy("gid", "n").agg(F.first("prefix").alias("prefix"))
+    groups = groups.select("gid", F.struct("n", F.element_at("prefix", -1).alias("last")).alias("g"), "prefix")
+    tokens = groups.select(F.explode("prefix").alias("token"), "gid")
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    found = tokens.join(shared, "token")
+    return settle(found.join(groups.select("gid", "g"), "gid").select("token", "gid", "g.n", "g.last"))
+
+
+def clusters(tokens: DataFrame, leaders: int, share: float, percent: int) -> DataFrame:
+    """(node, root): groups that share at least ``share`` of a prefix with a leader of a token that both have."""
+    own = [F.min(F.struct(F.xxhash64("gid", F.lit(s)), "gid", "n")).alias(f"l{s}") for s in range(leaders)]
+    lead = tokens.groupBy("token").agg(*own)
+    lead = lead.select("token", F.explode(F.array_distinct(F.array(*[F.struct(f"l{s}.gid", f"l{s}.n") for s in range(leaders)]))).alias("l"))
+    star = tokens.join(lead, "token").where("gid != l.gid").groupBy("gid", "n", F.col("l.gid").alias("b"), F.col("l.n").alias("m")).agg(F.count(F.lit(1)).alias("c"))
+    small = F.least("n", "m")
+    near = (100 * small >= percent * F.greatest("n", "m")) & (F.col("c") >= F.greatest(F.lit(1), share * (small - F.ceil(small * percent / 100) + 1)))
+    return components(star.where(near).select(F.col("gid").alias("a"), "b"))
+
+
+def reachable(tokens: DataFrame, cluster: DataFrame, percent: int) -> DataFrame:
+    """(a, b): clusters of group pairs whose size and shared prefix tokens leave the overlap needed in reach."""
+    rows = tokens.join(cluster.withColumnRenamed("node", "gid"), "gid", "left").withColumn("cl", F.coalesce("root", "gid")).drop("root")
+    held = rows.groupBy("token", "cl").agg(F.count(F.lit(1)).alias("c"))
+    main = held.groupBy("token").agg(F.max_by("cl", F.struct("c", "cl")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "main")
+    rows = settle(rows.join(main, "token"))
+    # only what is outside a list's main cluster meets the whole list
+    group = F.struct("gid", "n", "last", "cl")
+    left = rows.where("cl != main").select("token", group.alias("a"))
+    right = rows.select("token", group.alias("b"), "main")
+    once = (F.col("b.cl") == F.col("main")) | (F.col("a.gid") < F.col("b.gid"))
+    sized = (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
+    pairs = left.join(right, "token").where((F.col("a.cl") != F.col("b.cl")) & once & sized)
+    # one order for a pair, whichever side is outside the main cluster of a list
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    ends = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in ("gid", "n", "last", "cl")]
+    pairs = pairs.select(*ends).groupBy(*(f"{side}_{c}" for side in "ab" for c in ("gid", "n", "last", "cl"))).agg(F.count(F.lit(1)).alias("c"))
+    ceil_of = lambda x, y: F.floor((x + y - 1) / y)
+    need = ceil_of(percent * (F.col("a_n") + F.col("b_n")), F.lit(100 + percent))
+    rest = lambda n: ceil_of(percent * F.col(n), F.lit(100)) - 1
+    over = F.when(F.col("a_last") < F.col("b_last"), rest("a_n")).when(F.col("a_last") > F.col("b_last"), rest("b_n")).otherwise(F.least(rest("a_n"), rest("b_n")))
+    return pairs.where(F.col("c") + over >= need).select(F.col("a_cl").alias("a"), F.col("b_cl").alias("b"))
 
 
 def linked(a: int, b: int, both: np.ndarray | int, percent: int) -> np.ndarray | bool:
@@ -176,22 +222,21 @@ class Tile:
         return out
 
 
-def tiles(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[int], list[np.ndarray], list[bool]]]:
-    """Runs of rows with the same leading ``keys`` columns; then sid, set and mark."""
+def tiles(batches: Iterator[pa.RecordBatch], keys: int, k: int) -> Iterator[tuple[list[int], list[np.ndarray], list[bool]]]:
+    """Runs of rows with the same leading ``keys`` columns; then sid, text and mark."""
     now, ids, sets, marks = None, [], [], []
     for batch in batches:
         cols = [batch.column(i).to_pylist() for i in range(keys + 1)]
-        values, off = batch.column(keys + 1), None
-        flat, off = values.flatten().to_numpy(), np.concatenate(([0], np.cumsum(values.value_lengths().to_numpy())))
         mark = batch.column(keys + 2).to_pylist()
-        for r in range(batch.num_rows):
+        made = (s for p in K.pieces(batch.column(keys + 1)) for s in piece_sets(p, k))
+        for r, own in enumerate(made):
             key = tuple(c[r] for c in cols[:keys])
             if key != now:
                 if ids:
                     yield ids, sets, marks
                 now, ids, sets, marks = key, [], [], []
             ids.append(cols[keys][r])
-            sets.append(flat[off[r] : off[r + 1]].copy())
+            sets.append(own)
             marks.append(mark[r])
     if ids:
         yield ids, sets, marks
@@ -201,43 +246,43 @@ def edge_batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
 
-def in_blocks(fetched: DataFrame, percent: int, pivots: int) -> DataFrame:
-    """Links found in each block and its component's pivots.  ``fetched``: cc, blocks, block, sid, set, nth."""
-    pivot = F.col("nth") < pivots
+def in_blocks(fetched: DataFrame, k: int, percent: int, pivots: int) -> DataFrame:
+    """Links found in each block and its component's pivots.  ``fetched``: cc, size, blocks, block, sid, text."""
+    pivot = F.pmod(F.xxhash64("sid", F.lit(1)), "size") < pivots
     spread = F.when((F.col("blocks") > 1) & pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    rows = fetched.withColumn("block", F.explode(spread)).select("cc", "block", "sid", "set", F.lit(False).alias("mark"))
+    rows = fetched.withColumn("block", F.explode(spread)).select("cc", "block", "sid", "text", F.lit(False).alias("mark"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets, _ in tiles(batches, 2):
+        for ids, sets, _ in tiles(batches, 2, k):
             if len(ids) > 1:
                 yield edge_batch(Tile(ids, sets, percent).settle())
 
     return rows.repartition("cc", "block").sortWithinPartitions("cc", "block").mapInArrow(scan, "a bigint, b bigint")
 
 
-def across(fetched: DataFrame, parts: DataFrame, percent: int, block: int) -> DataFrame:
+def across(fetched: DataFrame, parts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links of all sets outside the largest part of a component of several blocks.  ``parts``: sid, root."""
-    big = fetched.where("blocks > 1").join(parts, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    weight = big.groupBy("cc", "blocks", "root").agg(F.count(F.lit(1)).alias("c"))
-    top = weight.groupBy("cc").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    top = top.select("cc", F.col("top.root").alias("main"), F.ceil((F.col("all") - F.col("top.c")) / block).cast("int").alias("slices"))
-    open_ = big.join(top, "cc")
+    big = fetched.join(parts, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    weight = big.groupBy("cc", "size", "blocks", "root").agg(F.count(F.lit(1)).alias("c"))
+    top = weight.groupBy("cc", "size", "blocks").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    slices = F.ceil((F.col("size") - F.col("top.c")) * F.col("blocks") / F.col("size")).cast("int")
+    open_ = big.join(top.select("cc", F.col("top.root").alias("main"), slices.alias("slices")), "cc")
     rest = open_.where("root != main").withColumn("slice", F.pmod(F.xxhash64("sid", F.lit(3)), "slices").cast("int"))
     rest = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     base = open_.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    cols = ["cc", "block", "slice", "sid", "set"]
+    cols = ["cc", "block", "slice", "sid", "text"]
     rows = base.select(*cols, F.lit(False).alias("mark")).unionByName(rest.select(*cols, F.lit(True).alias("mark")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets, marks in tiles(batches, 3):
+        for ids, sets, marks in tiles(batches, 3, k):
             tile = Tile(ids, sets, percent)
             yield edge_batch([e for i, m in enumerate(marks) if m for e in tile.take(i)])
 
     return rows.repartition("cc", "block", "slice").sortWithinPartitions("cc", "block", "slice").mapInArrow(scan, "a bigint, b bigint")
 
 
-def fetch(docs: DataFrame, wanted: DataFrame, k: int, bloom: int) -> DataFrame:
-    """The sets of the ``wanted`` texts (t1, t2, ...), from a second scan behind a Bloom filter of their keys."""
+def fetch(docs: DataFrame, wanted: DataFrame, bloom: int) -> DataFrame:
+    """The ``wanted`` rows (t1, t2, sid, ...) with their texts, from a second scan behind a Bloom filter of their keys."""
     keys = wanted.select(F.lit(0).cast("bigint").alias("__len"), F.col("t1").alias("__f1"), F.col("t2").alias("__f2"))
     field = np.packbits(bloom_filter(keys, bloom))
     t1, t2 = hash128(F.coalesce(F.col("text"), F.lit("")))
@@ -256,30 +301,30 @@ def fetch(docs: DataFrame, wanted: DataFrame, k: int, bloom: int) -> DataFrame:
                     seen.add(key)
                     hit.append(r)
             if hit:
-                part = batch.take(pa.array(hit))
-                for p in K.pieces(part.column(2)):
-                    own = part.slice(p.lo, p.hi - p.lo)
-                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([s.astype(np.int64) for s in piece_sets(p, k)], pa.list_(pa.int64()))], names=["t1", "t2", "set"])
+                yield batch.take(pa.array(hit))
 
-    sets = docs.select(t1.alias("t1"), t2.alias("t2"), "text").mapInArrow(scan, "t1 bigint, t2 bigint, set array<bigint>")
-    return wanted.join(sets, ["t1", "t2"]).drop("t1", "t2").dropDuplicates(["sid"])
+    texts = docs.select(t1.alias("t1"), t2.alias("t2"), "text").mapInArrow(scan, "t1 bigint, t2 bigint, text string")
+    return wanted.join(texts, ["t1", "t2"]).drop("t1", "t2").dropDuplicates(["sid"])
 
 
-def classes(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = 20, block: int = 1000, pivots: int = 8, bloom: int = 1 << 23) -> DataFrame:
+def classes(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = 22, block: int = 400_000, pivots: int = 8, leaders: int = 3, share: float = 0.3, bloom: int = 1 << 23) -> DataFrame:
     """(doc_id, t1, t2, n, sid, root) for every row; ``root`` is null for an empty set.  t1, t2: hash of the text."""
     rows = index(docs.select("doc_id", "text"), k, percent, bits)
-    sets = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("t1", "t2")).alias("t"), F.first("gid").alias("gid"))
+    sets = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("t1", "t2")).alias("t"), F.min("gid").alias("gid"))
     sets = settle(sets.select("k1", "k2", "n", "t.t1", "t.t2", "gid").withColumn("sid", F.monotonically_increasing_id()))
-    found = candidates(rows)
-    member = sets.join(found.withColumnRenamed("node", "gid"), "gid", "left").withColumn("cc", F.coalesce("root", "gid")).drop("root")
-    many = member.groupBy("cc").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("cc", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
-    wanted = settle(member.join(many, "cc").select("cc", "blocks", "sid", "t1", "t2"))
-    dealt = wanted.withColumns({"block": F.pmod(F.xxhash64("sid"), "blocks").cast("int"), "nth": F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks") * block)).otherwise(F.lit(0))})
-    fetched = settle(fetch(docs, dealt, k, bloom))
-    inner = settle(in_blocks(fetched, percent, pivots))
+    tokens = shared_tokens(rows)
+    cluster = settle(clusters(tokens, leaders, share, percent))
+    merged = components(reachable(tokens, cluster, percent)).select(F.col("node").alias("cl"), F.col("root").alias("cc"))
+    member = sets.join(cluster.select(F.col("node").alias("gid"), F.col("root").alias("cl")), "gid", "left").withColumn("cl", F.coalesce("cl", "gid"))
+    member = member.join(merged, "cl", "left").withColumn("cc", F.coalesce("cc", "cl"))
+    many = member.groupBy("cc").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("all")).where("size > 1").select("cc", "size", F.ceil(F.col("all") / block).cast("int").alias("blocks"))
+    wanted = member.join(many, "cc").select("cc", "size", "blocks", F.pmod(F.xxhash64("sid"), "blocks").cast("int").alias("block"), "sid", "t1", "t2")
+    wanted = settle(wanted)
+    inner = settle(in_blocks(fetch(docs, wanted, bloom), k, percent, pivots))
     parts = settle(components(inner).withColumnRenamed("node", "sid"))
-    if fetched.where("blocks > 1").head(1):
-        more = settle(across(fetched, parts, percent, block))
+    large = wanted.where("blocks > 1")
+    if large.head(1):
+        more = settle(across(fetch(docs, large, bloom), parts, k, percent))
         if more.head(1):
             parts = settle(components(inner.unionByName(more)).withColumnRenamed("node", "sid"))
     named = sets.join(parts, "sid", "left").select("k1", "k2", "n", "sid", F.coalesce("root", "sid").alias("root"))

@@ -24,7 +24,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LAST = "\U0010ffff"
@@ -83,7 +83,7 @@ def judge(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str]], d
     clean = rules.where(F.col("host").isNotNull() & (F.col("host") != "")).select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
     clean = clean.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
     starts = clean.select("host", "path", "verdict").mapInArrow(spread, "__range int, __key string, __host string, __path string, __verdict string")
-    dealt = salted.mapInArrow(range_of, StructType(salted.schema.fields).add("__range", "int"))
+    dealt = salted.mapInArrow(range_of, StructType([*salted.schema.fields, StructField("__range", IntegerType())]))
     both = dealt.withColumn("__page", F.lit(1)).unionByName(starts.withColumn("__page", F.lit(0)), allowMissingColumns=True)
     # rules come before the pages of the same key
     swept = both.repartition("__range").sortWithinPartitions("__range", "__key", "__page")
@@ -110,10 +110,8 @@ def judge(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str]], d
                 columns = [*(part.column(order[c]) for c in names), part.column(order["__host"]), part.column(order["__path"])]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array([g[j] for g in got], pa.string()) for j in range(2))], names=[*names, "host", "path", "rule", "verdict"])
 
-    fields = StructType(list(own))
-    for name in ("host", "path", "rule", "verdict"):
-        fields = fields.add(name, "string")
-    return swept.mapInArrow(sweep, fields)
+    added = [StructField(name, StringType()) for name in ("host", "path", "rule", "verdict")]
+    return swept.mapInArrow(sweep, StructType([*own, *added]))
 
 
 #: The contract's rules.
