@@ -5,6 +5,10 @@ A line's key is the line without ``[\x20\x09-\x0D]`` at both ends and with A-Z l
 by hash; when a level has ``fanout`` runs they are merged into one run of the next level.  Lines are then
 merge-joined with the runs: the frequent ones go from every document, the others stay.
 
+With ``alike`` below 1 copies are left to later operators: each distinct text counts once, and a line goes
+only if no neighbourhood (the lines before and after it) holds more than that share of its texts.  Lines that
+many near copies share stand in few neighbourhoods and stay; notices stand in many and go.
+
 Only built-in DataFrame functions are used.  What is dropped from a text depends on the text alone, so
 drop lists are keyed by a 128-bit hash of the text; copies share one list and no group is collected.
 
@@ -23,6 +27,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import settle, shared_dir
 
 HASH = ["__h1", "__h2"]
+#: A run's sort key: the line and the neighbourhood that it is counted in (0: any).
+KEY = [*HASH, "__c"]
+RUN = "__h1 bigint, __h2 bigint, __c bigint, __n bigint"
 TEXT = ["__t1", "__t2"]
 
 
@@ -49,7 +56,7 @@ class LineRuns:
     def _write(self, counts: DataFrame, level: int) -> None:
         path = f"{self.root}/run-{self._made:05d}"
         self._made += 1
-        counts.sortWithinPartitions(*HASH).write.parquet(path)
+        counts.sortWithinPartitions(*KEY).write.parquet(path)
         self._place(path, level)
 
     def _place(self, path: str, level: int) -> None:
@@ -61,7 +68,7 @@ class LineRuns:
             self._write(merge(self._read(full)), level + 1)
 
     def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("__h1 bigint, __h2 bigint, __n bigint").parquet(*paths)
+        return self.spark.read.schema(RUN).parquet(*paths)
 
     @property
     def runs(self) -> list[str]:
@@ -76,7 +83,7 @@ class LineRuns:
         self._place(path, 0)
 
     def merged(self) -> DataFrame:
-        return merge(self._read(self.runs)) if self.runs else self.spark.createDataFrame([], "__h1 bigint, __h2 bigint, __n bigint")
+        return merge(self._read(self.runs)) if self.runs else self.spark.createDataFrame([], RUN)
 
     def unseen(self, hashes: DataFrame) -> DataFrame:
         """Merge-anti-join: those of ``hashes`` in no run."""
@@ -86,35 +93,53 @@ class LineRuns:
 
 
 def merge(runs: DataFrame) -> DataFrame:
-    return runs.groupBy(*HASH).agg(F.sum("__n").alias("__n"))
+    return runs.groupBy(*KEY).agg(F.sum("__n").alias("__n"))
 
 
 def hashes(docs: DataFrame, min_chars: int, *more: Column) -> DataFrame:
-    """One row for each document and distinct line key."""
+    """One row for each document and distinct line key; ``__c`` is 0."""
     keys = F.array_distinct(F.transform(split_lines(F.col("text")), line_key))
     rows = docs.select(*more, F.explode(keys).alias("__key")).where(F.char_length("__key") >= min_chars)
     h1, h2 = hash128(F.col("__key"))
-    return rows.withColumns({"__h1": h1, "__h2": h2}).drop("__key")
+    return rows.withColumns({"__h1": h1, "__h2": h2, "__c": F.lit(0).cast("bigint")}).drop("__key")
 
 
-def ingest(docs: DataFrame, runs: LineRuns, batches: int = 4, min_chars: int = 1) -> None:
+def placed(docs: DataFrame, min_chars: int, *more: Column) -> DataFrame:
+    """One row for each distinct text and line key; ``__c`` is the hash of the keys before and after it."""
+    t1, t2 = hash128(F.coalesce(F.col("text"), F.lit("")))
+    texts = docs.select("text", t1.alias("__t1"), t2.alias("__t2")).dropDuplicates(TEXT)
+    keys = texts.select(*TEXT, *more, F.transform(split_lines(F.col("text")), line_key).alias("__keys"))
+    edge = F.array(F.lit("\n"))
+    before = F.concat(edge, F.slice("__keys", F.lit(1), F.size("__keys") - 1))
+    after = F.concat(F.slice("__keys", F.lit(2), F.size("__keys")), edge)
+    names = [c for c in keys.columns if c not in (*TEXT, "__keys")]
+    each = keys.select(*TEXT, *names, F.explode(F.arrays_zip(F.col("__keys").alias("k"), before.alias("p"), after.alias("s"))).alias("__l"))
+    each = each.where(F.char_length("__l.k") >= min_chars)
+    h1, h2 = hash128(F.col("__l.k"))
+    each = each.select(*TEXT, *names, h1.alias("__h1"), h2.alias("__h2"), F.xxhash64("__l.p", "__l.s").alias("__c"))
+    return each.groupBy(*TEXT, *names, *HASH).agg(F.min("__c").alias("__c")).drop(*TEXT)
+
+
+def ingest(docs: DataFrame, runs: LineRuns, batches: int = 4, min_chars: int = 1, alike: float = 1.0) -> None:
     """All documents into the store in ``batches`` runs, read in one scan; a text's hash names its batch."""
-    rows = hashes(docs, min_chars, F.pmod(F.xxhash64(F.lit(2), F.col("text")), F.lit(batches)).cast("int").alias("__b"))
+    batch = F.pmod(F.xxhash64(F.lit(2), F.col("text")), F.lit(batches)).cast("int").alias("__b")
+    rows = placed(docs, min_chars, batch) if alike < 1 else hashes(docs, min_chars, batch)
     root = f"{runs.root}/batches"
-    counts = rows.groupBy("__b", *HASH).agg(F.count(F.lit(1)).alias("__n"))
-    counts.sortWithinPartitions("__b", *HASH).write.partitionBy("__b").parquet(root)
-    found = sorted(r["__b"] for r in runs.spark.read.parquet(root).select("__b").distinct().collect()) if not counts_empty(runs.spark, root) else []
-    for b in found:
-        runs.adopt(f"{root}/__b={b}")
+    counts = rows.groupBy("__b", *KEY).agg(F.count(F.lit(1)).alias("__n"))
+    counts.sortWithinPartitions("__b", *KEY).write.partitionBy("__b").parquet(root)
+    if counts_empty(runs.spark, root):
+        return
+    for row in sorted(runs.spark.read.parquet(root).select("__b").distinct().collect()):
+        runs.adopt(f"{root}/__b={row['__b']}")
 
 
 def counts_empty(spark: SparkSession, root: str) -> bool:
-    return not spark.read.schema("__h1 bigint, __h2 bigint, __n bigint, __b int").parquet(root).head(1)
+    return not spark.read.schema(f"{RUN}, __b int").parquet(root).head(1)
 
 
 def increment(docs: DataFrame, runs: LineRuns, min_chars: int = 1) -> DataFrame:
     """A batch that arrives later: its line hashes that no earlier batch had (returned), its own run added."""
-    counts = settle(hashes(docs, min_chars).groupBy(*HASH).agg(F.count(F.lit(1)).alias("__n")))
+    counts = settle(hashes(docs, min_chars).groupBy(*KEY).agg(F.count(F.lit(1)).alias("__n")))
     fresh = settle(runs.unseen(counts))
     runs.add(counts)
     return fresh
@@ -141,11 +166,14 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1) -> Data
     )
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4) -> DataFrame:
-    """Lines whose key is found in at least ``min_docs`` documents go from every document."""
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4, alike: float = 1.0) -> DataFrame:
+    """Lines whose key is found in at least ``min_docs`` documents (``alike`` < 1: texts) go from every document."""
     runs = LineRuns(docs.sparkSession, shared_dir(docs.sparkSession), fanout)
-    ingest(docs, runs, batches, min_chars)
-    frequent = settle(runs.merged().where(F.col("__n") >= min_docs))
+    ingest(docs, runs, batches, min_chars, alike)
+    found = runs.merged()
+    if alike < 1:
+        found = found.groupBy(*HASH).agg(F.sum("__n").alias("__n"), F.max("__n").alias("__most")).where(F.col("__most") <= alike * F.col("__n"))
+    frequent = settle(found.where(F.col("__n") >= min_docs).select(*HASH))
     return drop_lines(docs, frequent, min_chars)
 
 

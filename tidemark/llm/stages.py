@@ -1,10 +1,14 @@
-"""The stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame with the columns of ``docs``."""
+"""The stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame.
+
+All but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import ftrl
+from tidemark.llm import bpe, ftrl, jaccard, linedup, mixture
 from tidemark.llm.common import table
 
 
@@ -14,7 +18,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Operator 4: lines in ten texts or more go, unless a fifth of these have the same lines around them.
+
+    That leaves copies, whose lines all stand in the same place, to the next stage.  ``n_chars`` follows the text.
+    """
+    got = linedup.dedup_lines(docs, alike=0.2).withColumn("n_chars", F.char_length("text").cast("long"))
+    return got.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in docs.schema.fields])
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8, five words and a similarity of 0.8: one document of each class stays."""
+    return jaccard.keep_one(docs)
+
+
+def mixture_of_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: each document as often as the mix takes it."""
+    return mixture.mix(docs)
 
 
-near_copies = mixture = tokens = lines
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: (doc_id, source, n_tokens, ids, decoded)."""
+    got = bpe.encode(docs.select("doc_id", "source", "text"), carry=["doc_id", "source"])
+    return got.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
