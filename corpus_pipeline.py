@@ -15,7 +15,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("quality", stages.quality),
     ("lines", stages.lines),
     ("near_copies", stages.near_copies),
-    ("mixture", stages.mixture),
+    ("mixture", stages.mixture_of_sources),
     ("tokens", stages.tokens),
 ]
 
