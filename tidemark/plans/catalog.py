@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import q_panel  # noqa: F401  (registers its queries)
+from tidemark.plans import q_panel, q_stats  # noqa: F401  (they register their queries)
 from tidemark.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
