@@ -9,8 +9,9 @@ least t share one.
 2. Groups that share many prefix tokens with a leader of a token's list are put in one cluster; only the links
    of each group to a few leaders are made, never all pairs of a list.
 3. Group pairs of different clusters are filtered by size and by the number of prefix tokens they share: with that,
-   and the shingles after the prefix that ends first, the overlap needed must be within reach.  The pairs that
-   pass join their clusters to candidate components, outside of which no true link can lie.
+   and the shingles after the prefix that ends first, the overlap needed must be within reach.  Groups of like size
+   in one cluster are filtered as one.  What passes joins its clusters to candidate components, outside of
+   which no true link can lie.
 4. A component's texts are fetched, and cut into blocks if they hold more than ``block`` shingles.  In each block,
    with a few pivots that all blocks share, the overlaps of one set with all others are counted at once, until
    every set that isn't counted lies in one class.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernel as K
@@ -145,28 +146,37 @@ def clusters(tokens: DataFrame, leaders: int, share: float, percent: int) -> Dat
     return components(star.where(near).select(F.col("gid").alias("a"), "b"))
 
 
-def reachable(tokens: DataFrame, cluster: DataFrame, percent: int) -> DataFrame:
-    """(a, b): clusters of group pairs whose size and shared prefix tokens leave the overlap needed in reach."""
-    rows = tokens.join(cluster.withColumnRenamed("node", "gid"), "gid", "left").withColumn("cl", F.coalesce("root", "gid")).drop("root")
-    held = rows.groupBy("token", "cl").agg(F.count(F.lit(1)).alias("c"))
-    main = held.groupBy("token").agg(F.max_by("cl", F.struct("c", "cl")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "main")
-    rows = settle(rows.join(main, "token"))
-    # only what is outside a list's main cluster meets the whole list
-    group = F.struct("gid", "n", "last", "cl")
-    left = rows.where("cl != main").select("token", group.alias("a"))
-    right = rows.select("token", group.alias("b"), "main")
-    once = (F.col("b.cl") == F.col("main")) | (F.col("a.gid") < F.col("b.gid"))
-    sized = (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
-    pairs = left.join(right, "token").where((F.col("a.cl") != F.col("b.cl")) & once & sized)
-    # one order for a pair, whichever side is outside the main cluster of a list
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    ends = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in ("gid", "n", "last", "cl")]
-    pairs = pairs.select(*ends).groupBy(*(f"{side}_{c}" for side in "ab" for c in ("gid", "n", "last", "cl"))).agg(F.count(F.lit(1)).alias("c"))
-    ceil_of = lambda x, y: F.floor((x + y - 1) / y)
-    need = ceil_of(percent * (F.col("a_n") + F.col("b_n")), F.lit(100 + percent))
-    rest = lambda n: ceil_of(percent * F.col(n), F.lit(100)) - 1
-    over = F.when(F.col("a_last") < F.col("b_last"), rest("a_n")).when(F.col("a_last") > F.col("b_last"), rest("b_n")).otherwise(F.least(rest("a_n"), rest("b_n")))
-    return pairs.where(F.col("c") + over >= need).select(F.col("a_cl").alias("a"), F.col("b_cl").alias("b"))
+def reachable(tokens: DataFrame, cluster: DataFrame, percent: int, step: float = 1.05) -> DataFrame:
+    """(a, b): clusters that may hold a group pair whose sizes and shared prefix tokens leave the overlap needed in reach.
+
+    Each cluster is cut into nodes of groups of like size, and a token's list is collapsed to its nodes before nodes are
+    paired, so a large cluster meets the rest of a list once and not group by group.  The tokens that two nodes share are at least those of
+    any of their group pairs, and bounds over the nodes' sizes and last prefix tokens replace the exact ones; a
+    node of one group has exact bounds.
+    """
+    node = ["cl", "class"]
+    rows = tokens.join(cluster.withColumnRenamed("node", "gid"), "gid", "left").withColumns({"cl": F.coalesce("root", "gid"), "class": F.floor(F.log("n") / math.log(step))})
+    nodes = rows.groupBy(*node).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("last").alias("first"), F.max("last").alias("last"))
+    held = rows.select("token", *node).distinct()
+    mixed = held.groupBy("token").agg(F.min("cl").alias("x"), F.max("cl").alias("y")).where("x != y").select("token")
+    held = settle(held.join(mixed, "token").join(nodes, node))
+    fields = [*node, "lo", "hi", "first", "last"]
+    left = held.select("token", *[F.col(c).alias(f"a_{c}") for c in fields])
+    right = held.select("token", *[F.col(c).alias(f"b_{c}") for c in fields])
+    sized = (100 * F.col("a_hi") >= percent * F.col("b_lo")) & (100 * F.col("b_hi") >= percent * F.col("a_lo"))
+    pairs = left.join(right, "token").where((F.col("a_cl") < F.col("b_cl")) & sized)
+    pairs = pairs.groupBy(*[f"{side}_{c}" for side in "ab" for c in fields]).agg(F.count(F.lit(1)).alias("c"))
+
+    def least_shared(a: str, b: str) -> Column:
+        """How many prefix tokens sets of these sizes share at least, if they are linked."""
+        need = F.floor((percent * (F.col(a) + F.col(b)) + 99 + percent) / (100 + percent))
+        after = {n: F.floor((percent * F.col(n) + 99) / 100) - 1 for n in (a, b)}
+        over = F.when(F.col("a_last") < F.col("b_first"), after[a]).when(F.col("a_first") > F.col("b_last"), after[b]).otherwise(F.greatest(after[a], after[b]))
+        return need - over
+
+    corners = [least_shared(a, b) for a in ("a_lo", "a_hi") for b in ("b_lo", "b_hi")]
+    slack = F.when((F.col("a_lo") < F.col("a_hi")) | (F.col("b_lo") < F.col("b_hi")), 1).otherwise(0)
+    return pairs.where(F.col("c") + slack >= F.least(*corners)).select(F.col("a_cl").alias("a"), F.col("b_cl").alias("b"))
 
 
 def linked(a: int, b: int, both: np.ndarray | int, percent: int) -> np.ndarray | bool:
