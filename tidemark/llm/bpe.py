@@ -58,7 +58,8 @@ class Coder:
         vocab: dict[str, int] = spec["model"]["vocab"]
         letters = byte_letters()
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: t.encode() for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        #: each token's text with a space after it
+        self.strings = {i: t.encode() + b" " for t, i in vocab.items()} | {i: t + b" " for t, i in self.special.items()}
         self.inner = [vocab[c] for c in letters]
         self.final = [vocab[c + END] for c in letters]
         self.merge: dict[int, tuple[int, int]] = {}
@@ -85,7 +86,10 @@ class Coder:
         self.length = {i: len(s) for i, s in self.symbols.items()}
         self.pairs: dict[int, bool] = {}
         self.cut = re.compile(b"(" + b"|".join(map(re.escape, self.special)) + b")") if self.special else None
-        self.words: dict[bytes, tuple[int, ...]] = {}
+        self.four = {i: i.to_bytes(4, "little") for i in self.strings}
+        self.marks: dict[bytes | int, tuple[bytes, bytes]] = {i: (self.four[i], self.strings[i]) for i in self.special.values()}
+        #: the ids and the tokens, a space after each, of words
+        self.words: dict[bytes | int, tuple[bytes, bytes]] = dict(self.marks)
         self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
 
     def merged(self, symbols: list[int]) -> list[int]:
@@ -107,16 +111,10 @@ class Coder:
             known = self.pairs[key] = self.merged(self.symbols[a] + self.symbols[b]) == [a, b]
         return known
 
-    def step(self, path: bytes, depth: int, last: list[int], tokens: dict[bytes, int]) -> int:
-        """The last token of ``path[:depth]``; ``last[d]`` is that of each shorter path."""
-        for size in range(min(depth, self.longest), 0, -1):
-            t = tokens.get(path[depth - size : depth])
-            if t is not None and (size == depth or self.stable(last[depth - size], t)):
-                return t
-        raise AssertionError("every byte is a token")
-
     def learn(self, fresh: set[bytes]) -> None:
         """Depth first over the trie of the new words."""
+        inside, ending, length, pairs, longest = self.inside.get, self.ending.get, self.length, self.pairs, self.longest
+        four, shown, words = self.four, self.strings, self.words
         last, before = [0], b""
         for word in sorted(fresh):
             n = len(word) - 1
@@ -124,19 +122,29 @@ class Coder:
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             del last[shared + 1 :]
-            for depth in range(shared + 1, n + 1):
-                last.append(self.step(word, depth, last, self.inside))
-            t = self.step(word, n + 1, last, self.ending)
-            out, at = [t], n + 1 - self.length[t]
+            for depth in range(shared + 1, n + 2):
+                find = inside if depth <= n else ending
+                at = 0 if depth < longest else depth - longest
+                while True:  # the longest token that ends here and goes with what comes before it
+                    t = find(word[at:depth])
+                    if t is not None and (not at or (pairs.get(last[at] << 20 | t) or self.stable(last[at], t))):
+                        break
+                    at += 1
+                if depth <= n:
+                    last.append(t)
+            ids, strings = [four[t]], [shown[t]]
             while at:
                 t = last[at]
-                out.append(t)
-                at -= self.length[t]
-            self.words[word] = tuple(reversed(out))
+                ids.append(four[t])
+                strings.append(shown[t])
+                at -= length[t]
+            ids.reverse()
+            strings.reverse()
+            words[word] = (b"".join(ids), b"".join(strings))
             before = word
 
     def split(self, chunk: bytes) -> list[bytes | int]:
-        """A chunk's words in bytes; special tokens as ids."""
+        """A chunk's words in bytes; special tokens as ids, which ``words`` always holds."""
         low = chunk.lower()
         if low.isalpha():
             return [low]
@@ -155,13 +163,18 @@ class Coder:
         if len(self.chunks) > CACHE:
             self.chunks.clear()
         if len(self.words) > CACHE:
-            self.words.clear()
-        split = {c: self.split(c) for c in chunks if c not in self.chunks}
-        self.learn({w for parts in split.values() for w in parts if isinstance(w, bytes) and w not in self.words})
+            self.words = dict(self.marks)
+        words, known = self.words, self.chunks
+        split = {c: self.split(c) for c in chunks if c not in known}
+        fresh = {w for parts in split.values() for w in parts}
+        self.learn(fresh.difference(words))
         for chunk, parts in split.items():
-            ids = [i for w in parts for i in ((w,) if isinstance(w, int) else self.words[w])]
-            self.chunks[chunk] = (np.array(ids, "<u4").tobytes(), b"".join(self.strings[i] + b" " for i in ids))
-        return [self.chunks[c] for c in chunks]
+            if len(parts) == 1:
+                known[chunk] = words[parts[0]]
+            else:
+                both = [words[w] for w in parts]
+                known[chunk] = (b"".join([x[0] for x in both]), b"".join([x[1] for x in both]))
+        return [known[c] for c in chunks]
 
 
 PRINTABLE = re.compile(rb"[!-~]+")
@@ -219,4 +232,4 @@ def encode(docs: DataFrame, path: str | None = None, carry: list[str] | None = N
 
 def decode(ids: list[int], path: str | None = None) -> str:
     c = coder(path or vocabulary())
-    return b" ".join(c.strings[i] for i in ids).decode("utf-8", "replace")
+    return b"".join(c.strings[i] for i in ids)[:-1].decode("utf-8", "replace")
