@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 #: The financial word lists, whose counts must equal those of other implementations.
 LEXICON: dict[str, tuple[str, ...]] = {
@@ -42,7 +43,7 @@ def normal_forms(value: str) -> str:
     return "".join(c if unicodedata.category(c).startswith("P") else unicodedata.normalize("NFKC", c) for c in value)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unicode(text: pd.Series) -> pd.Series:
     return text.map(lambda v: None if v is None else html.unescape(normal_forms(v)))
 
@@ -132,7 +133,7 @@ def segmenter(vocabulary: Iterable[str]):
     known = frozenset(vocabulary)
     longest = max(map(len, known), default=1)
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(ArrayType(StringType()))
     def cut(column: pd.Series) -> pd.Series:
         return column.map(lambda ws: None if ws is None else [p for w in ws for p in (max_match(w, known, longest) if "一" <= w[0] <= "鿿" else [w])])
 
@@ -142,7 +143,8 @@ def segmenter(vocabulary: Iterable[str]):
 def token_lexicon(tokens: Column, lexicon: Mapping[str, Iterable[str]] | None = None) -> dict[str, Column]:
     """Token-exact counts; a word in two categories counts in both."""
     lexicon = lexicon or TOKEN_LEXICON
-    out = {f"{k}_count": F.size(F.filter(tokens, lambda w, v=list(v): w.isin(v))) for k, v in lexicon.items()}
+    listed = lambda words: F.size(F.filter(tokens, lambda w: w.isin(list(words))))
+    out = {f"{k}_count": listed(v) for k, v in lexicon.items()}
     total = F.greatest(F.size(tokens), F.lit(1))
     return out | {"word_count": F.size(tokens), "token_score": (out["positive_count"] - out["negative_count"]) / total}
 
@@ -244,7 +246,7 @@ def mask(text: str, names: Iterable[str], most: int = 1000) -> str:
     raise ValueError("masking did not settle")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def masked(text: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else mask(t, () if n is None else n) for t, n in zip(text, names, strict=True)])
 
@@ -302,7 +304,7 @@ class _Page(HTMLParser):
             self.body.append(value)
 
 
-PAGE = "title string, text string, body string, links array<string>, meta map<string,string>"
+PAGE = StructType([*(StructField(c, StringType()) for c in ("title", "text", "body")), StructField("links", ArrayType(StringType())), StructField("meta", MapType(StringType(), StringType()))])
 
 
 @F.pandas_udf(PAGE)

@@ -346,10 +346,10 @@ def w_drawdown(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("date", r6("wealth").alias("wealth"), r6(windows.drawdown("wealth", "k", "date")).alias("drawdown"), r6(windows.drawdown("wealth", "k", "date", floor=False)).alias("drawdown_unfloored"))
 
 
-@query("w_calendarize", f"WITH {SPARSE}, e AS (SELECT ts::DATE AS date, round(sum(value), 6) AS v FROM events WHERE event_type = 'purchase' AND user_id % 50 = 1 GROUP BY ALL), c AS (SELECT DISTINCT ts::DATE AS date FROM events) SELECT c.date, coalesce(e.v, 0) AS v FROM c LEFT JOIN e USING (date)")
+@query("w_calendarize", f"WITH {SPARSE}, e AS (SELECT ts::DATE AS date, round(sum(value), 6) AS v FROM events WHERE event_type = 'purchase' AND value > 200 GROUP BY ALL), c AS (SELECT DISTINCT ts::DATE AS date FROM events) SELECT c.date, coalesce(e.v, 0) AS v FROM c LEFT JOIN e USING (date)")
 def w_calendarize(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("date", F.to_date("ts"))
-    some = e.where("event_type = 'purchase' and user_id % 50 = 1").groupBy("date").agg(r6(F.sum("value")).alias("v"))
+    some = e.where("event_type = 'purchase' and value > 200").groupBy("date").agg(r6(F.sum("value")).alias("v"))
     return cal.trading_calendar(e).select("date").join(some, "date", "left").select("date", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
