@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import title_key
 from tidemark.functions.vectors import dot, unit
 from tidemark.operators.joins import range_join
+from tidemark.staging import settle
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], last: bool = False) -> DataFrame:
@@ -67,15 +68,12 @@ def linked(rows: DataFrame, order: str, names: Sequence[str], rounds: int = 50)
     """(order, root): the least order reachable over shared keys."""
     links = rows.select(order, F.explode(F.array_compact(F.array(*[F.concat(F.lit(f"{n}:"), F.col(n)) for n in names]))).alias("__key"))
     state = rows.select(order, F.col(order).alias("root"))
-    spark = rows.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("/tmp/tidemark-checkpoints")
-    links = links.checkpoint()
+    links = settle(links)
     before = None
     for _ in range(rounds):
         least = links.join(state, order).groupBy("__key").agg(F.min("root").alias("__m"))
         better = links.join(least, "__key").groupBy(order).agg(F.min("__m").alias("__m"))
-        state = state.join(better, order, "left").select(order, F.least("root", F.coalesce("__m", "root")).alias("root")).checkpoint()
+        state = state.join(better, order, "left").select(order, F.least("root", F.coalesce("__m", "root")).alias("root")).transform(settle)
         now = state.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
         if now == before:
             break
