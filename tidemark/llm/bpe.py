@@ -29,8 +29,9 @@ from tokenizers import Tokenizer
 from tidemark.llm import kernel as K
 from tidemark.llm.common import annotate
 
-PIECE = 8 << 20
-CACHE = 400_000
+#: Bytes of a piece, and how many words and chunks a process remembers: what bounds a worker's memory.
+PIECE = 4 << 20
+CACHE = 250_000
 END = "</w>"
 
 
@@ -87,10 +88,14 @@ class Coder:
         self.pairs: dict[int, bool] = {}
         self.cut = re.compile(b"(" + b"|".join(map(re.escape, self.special)) + b")") if self.special else None
         self.four = {i: i.to_bytes(4, "little") for i in self.strings}
-        self.marks: dict[bytes | int, tuple[bytes, bytes]] = {i: (self.four[i], self.strings[i]) for i in self.special.values()}
-        #: the ids and the tokens, a space after each, of words
-        self.words: dict[bytes | int, tuple[bytes, bytes]] = dict(self.marks)
-        self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
+        self.marks: dict[bytes | int, bytes] = {i: self.four[i] for i in self.special.values()}
+        #: the ids of words, as little-endian uint32
+        self.words: dict[bytes | int, bytes] = dict(self.marks)
+        most = max(self.strings) + 1
+        self.pool = np.frombuffer(b"".join(self.strings.get(i, b"") for i in range(most)), np.uint8)
+        self.size = np.array([len(self.strings.get(i, b"")) for i in range(most)])
+        self.start = np.cumsum(self.size) - self.size
+        self.chunks: dict[bytes, bytes] = {}
 
     def merged(self, symbols: list[int]) -> list[int]:
         """Merging by rank, leftmost first: for tokens and pairs of tokens only."""
@@ -114,7 +119,7 @@ class Coder:
     def learn(self, fresh: set[bytes]) -> None:
         """Depth first over the trie of the new words."""
         inside, ending, length, pairs, longest = self.inside.get, self.ending.get, self.length, self.pairs, self.longest
-        four, shown, words = self.four, self.strings, self.words
+        four, words = self.four, self.words
         last, before = [0], b""
         for word in sorted(fresh):
             n = len(word) - 1
@@ -132,15 +137,13 @@ class Coder:
                     at += 1
                 if depth <= n:
                     last.append(t)
-            ids, strings = [four[t]], [shown[t]]
+            ids = [four[t]]
             while at:
                 t = last[at]
                 ids.append(four[t])
-                strings.append(shown[t])
                 at -= length[t]
             ids.reverse()
-            strings.reverse()
-            words[word] = (b"".join(ids), b"".join(strings))
+            words[word] = b"".join(ids)
             before = word
 
     def split(self, chunk: bytes) -> list[bytes | int]:
@@ -158,24 +161,25 @@ class Coder:
         shown = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk.decode("utf-8", "replace")))
         return [bytes(self.to_byte[c] for c in w) for w, _ in shown]
 
-    def encode(self, chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """For each chunk its ids as little-endian uint32, and its tokens with a space after each."""
+    def encode(self, chunks: list[bytes]) -> list[bytes]:
+        """Each chunk's ids as little-endian uint32."""
         if len(self.chunks) > CACHE:
             self.chunks.clear()
         if len(self.words) > CACHE:
             self.words = dict(self.marks)
         words, known = self.words, self.chunks
         split = {c: self.split(c) for c in chunks if c not in known}
-        fresh = {w for parts in split.values() for w in parts}
-        self.learn(fresh.difference(words))
+        self.learn({w for parts in split.values() for w in parts}.difference(words))
         for chunk, parts in split.items():
-            if len(parts) == 1:
-                known[chunk] = words[parts[0]]
-            else:
-                both = [words[w] for w in parts]
-                known[chunk] = (b"".join([x[0] for x in both]), b"".join([x[1] for x in both]))
+            known[chunk] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
         return [known[c] for c in chunks]
 
+    def shown(self, ids: bytes, block: int = 200_000) -> bytes:
+        """The tokens joined by one space, gathered from the pool of token strings a block at a time."""
+        every = np.frombuffer(ids, "<u4")
+        parts = [self.pool[K.ragged(self.start[some], self.size[some])].tobytes() for some in (every[i : i + block] for i in range(0, len(every), block))]
+        return b"".join(parts)[:-1]
+
 
 PRINTABLE = re.compile(rb"[!-~]+")
 ASCII_WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -192,17 +196,16 @@ def coder(path: str) -> Coder:
 
 
 def each_doc(column: pa.Array, path: str, visit: Callable[[bytes, bytes], None]) -> None:
-    """Calls ``visit(ids, tokens)`` for each document."""
+    """Calls ``visit(ids, decoded)`` for each document."""
     c = coder(path)
     for p in K.pieces(column, PIECE):
         start, end, first = K.words(p)
         _, at, which = np.unique(K.hash_spans(p.data, start, end), return_index=True, return_inverse=True)
         raw = p.data.tobytes()
         known = c.encode([raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
-        ids, shown = [k[0] for k in known], [k[1] for k in known]
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            own = which[a:b].tolist()
-            visit(b"".join([ids[j] for j in own]), b"".join([shown[j] for j in own])[:-1])
+            ids = b"".join([known[j] for j in which[a:b].tolist()])
+            visit(ids, c.shown(ids))
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -232,4 +235,4 @@ def encode(docs: DataFrame, path: str | None = None, carry: list[str] | None = N
 
 def decode(ids: list[int], path: str | None = None) -> str:
     c = coder(path or vocabulary())
-    return b"".join(c.strings[i] for i in ids)[:-1].decode("utf-8", "replace")
+    return c.shown(np.array(ids, "<u4").tobytes()).decode("utf-8", "replace")

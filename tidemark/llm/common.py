@@ -59,6 +59,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, seed: i
 
 
 def map_batches(df: DataFrame, func: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    """Arrow batches through ``func``.  A session that keeps Spark's default batch size gets a smaller one: texts are long."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:

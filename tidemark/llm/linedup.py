@@ -107,8 +107,7 @@ def hashes(docs: DataFrame, min_chars: int, *more: Column) -> DataFrame:
 def placed(docs: DataFrame, min_chars: int, *more: Column) -> DataFrame:
     """One row for each distinct text and line key; ``__c`` is the hash of the keys before and after it."""
     t1, t2 = hash128(F.coalesce(F.col("text"), F.lit("")))
-    texts = docs.select("text", t1.alias("__t1"), t2.alias("__t2")).dropDuplicates(TEXT)
-    keys = texts.select(*TEXT, *more, F.transform(split_lines(F.col("text")), line_key).alias("__keys"))
+    keys = docs.select(t1.alias("__t1"), t2.alias("__t2"), *more, F.transform(split_lines(F.col("text")), line_key).alias("__keys"))
     edge = F.array(F.lit("\n"))
     before = F.concat(edge, F.slice("__keys", F.lit(1), F.size("__keys") - 1))
     after = F.concat(F.slice("__keys", F.lit(2), F.size("__keys")), edge)
@@ -117,6 +116,7 @@ def placed(docs: DataFrame, min_chars: int, *more: Column) -> DataFrame:
     each = each.where(F.char_length("__l.k") >= min_chars)
     h1, h2 = hash128(F.col("__l.k"))
     each = each.select(*TEXT, *names, h1.alias("__h1"), h2.alias("__h2"), F.xxhash64("__l.p", "__l.s").alias("__c"))
+    # equal texts have equal lines and neighbourhoods, so this also counts each text once
     return each.groupBy(*TEXT, *names, *HASH).agg(F.min("__c").alias("__c")).drop(*TEXT)
 
 
