@@ -51,12 +51,14 @@ def max_pool(tokens: Column) -> Column:
     return F.aggregate(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), tokens[0], lambda s, v: F.zip_with(s, v, lambda x, y: F.greatest(x, y)))
 
 
-def three_point(low: Column, neutral: Column, high: Column) -> dict[str, Column]:
-    """Direction, deviation, magnitude, clarity and curvature of a low-neutral-high axis."""
-    direction = combine(high, low, lambda h, s: h - s)
-    deviation = combine(combine(high, low, lambda h, s: (h + s) / 2), neutral, lambda m, n: m - n)
-    up, down = combine(high, neutral, lambda h, n: h - n), combine(neutral, low, lambda n, s: n - s)
-    return {"direction": direction, "deviation": deviation, "magnitude": norm(direction), "clarity": cosine(up, down), "curvature": norm(deviation) / F.nullif(norm(direction), F.lit(0.0))}
+def three_point(low: Column, neutral: Column, high: Column, epsilon: float = 1e-8) -> dict[str, Column]:
+    """What a low-neutral-high axis shows: its direction, both deviations from the neutral point, their summed length
+    (magnitude), how straight the way is (clarity), and how far the neutral point is from the middle (curvature)."""
+    minus = lambda a, b: combine(a, b, lambda x, y: x - y)
+    up, down, direction = minus(high, neutral), minus(low, neutral), minus(high, low)
+    middle = combine(low, high, lambda x, y: (x + y) / 2)
+    magnitude = norm(up) + norm(down)
+    return {"direction": direction, "high_deviation": up, "low_deviation": down, "magnitude": magnitude, "clarity": norm(direction) / (magnitude + epsilon), "curvature": norm(minus(neutral, middle))}
 
 
 def bigrams(text: Column) -> Column:

@@ -291,7 +291,7 @@ def v_pooling(spark: SparkSession, d: str) -> DataFrame:
     return v.select("label", (pooled[0] * 8).alias("x")).groupBy("label").agg(F.round(F.avg("x"), 5).alias("total"))
 
 
-@query("v_three_point", "WITH e AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS low, embedding[17:32]::DOUBLE[] AS mid, embedding[33:48]::DOUBLE[] AS high FROM embeddings), s AS (SELECT vec_id, unnest(low) AS l, unnest(mid) AS m, unnest(high) AS h FROM e) SELECT vec_id, round(sqrt(sum((h - l) * (h - l))), 6) + 0 AS magnitude, round(sum((h - m) * (m - l)) / sqrt(sum((h - m) * (h - m)) * sum((m - l) * (m - l))), 6) + 0 AS clarity, round(sqrt(sum(((h + l) / 2 - m) * ((h + l) / 2 - m))) / sqrt(sum((h - l) * (h - l))), 6) + 0 AS curvature FROM s GROUP BY vec_id")
+@query("v_three_point", "WITH e AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS low, embedding[17:32]::DOUBLE[] AS mid, embedding[33:48]::DOUBLE[] AS high FROM embeddings), s AS (SELECT vec_id, unnest(low) AS l, unnest(mid) AS m, unnest(high) AS h FROM e) SELECT vec_id, round(sqrt(sum((h - m) * (h - m))) + sqrt(sum((l - m) * (l - m))), 6) + 0 AS magnitude, round(sqrt(sum((h - l) * (h - l))) / (sqrt(sum((h - m) * (h - m))) + sqrt(sum((l - m) * (l - m))) + 1e-8), 6) + 0 AS clarity, round(sqrt(sum((m - (h + l) / 2) * (m - (h + l) / 2))), 6) + 0 AS curvature FROM s GROUP BY vec_id")
 def v_three_point(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("v")
     cells = vx.three_point(F.slice(v, 1, 16), F.slice(v, 17, 16), F.slice(v, 33, 16))
