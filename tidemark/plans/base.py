@@ -58,13 +58,13 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(asset, date, pred, actual): a day's mean event value, and the return to the asset's next close, where there is one."""
     from tidemark.operators.windows import forward_return
 
-    rows = panel(spark, sf_dir).withColumn("actual", r6(forward_return("close", "asset", "date")))
+    rows = panel(spark, sf_dir).withColumn("actual", forward_return("close", "asset", "date"))
     return rows.where("actual is not null").select("asset", "date", F.col("signal").alias("pred"), "actual")
 
 
 SIGNALS = (
     PANEL
-    + """, signals AS (SELECT asset, date, signal AS pred, actual FROM (SELECT *, round(lead(close) OVER (PARTITION BY asset ORDER BY date) / close - 1, 6) AS actual FROM panel) WHERE actual IS NOT NULL)"""
+    + """, signals AS (SELECT asset, date, signal AS pred, actual FROM (SELECT *, lead(close) OVER (PARTITION BY asset ORDER BY date) / close - 1 AS actual FROM panel) WHERE actual IS NOT NULL)"""
 )
 CALENDAR = "cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS rank FROM (SELECT DISTINCT ts::DATE AS date FROM events))"
 SPARSE = "cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS rank FROM (SELECT DISTINCT o_orderdate::DATE AS date FROM orders))"
