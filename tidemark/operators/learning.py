@@ -158,38 +158,40 @@ def shrunk_cluster_means(df: DataFrame, cluster: str, value: str, strength: floa
     return each.select(cluster, ((F.col("s") + strength * overall) / (F.col("n") + strength)).alias("mean"), "n")
 
 
-def neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, blocks: int = 8, most: int = 50_000) -> DataFrame:
-    """(query, neighbour, similarity, place): exact cosine top k.
+def _blocks(df: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
+    """One row for about ``size`` rows: their keys and vectors, dealt by a hash of the key."""
+    number = max(1, -(-df.count() // size))
+    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(number)).alias("__b")).agg(F.collect_list(F.struct(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))).alias(name)).drop("__b")
 
-    The queries must be few (at most ``most``, checked): they are packed into ``blocks`` matrices and each meets each
-    partition of the base in NumPy, which sends on only its own k best.
+
+def neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, block: int = 2000) -> DataFrame:
+    """(query, neighbour, similarity, place): exact cosine top k of a stated query set against all rows, in blocks.
+
+    Both sides are packed into blocks of about ``block`` rows; each pair of blocks is one matrix product in some
+    task and sends on only k rows for each query.  Neither side is gathered anywhere.
     """
     import pandas as pd
     import pyarrow as pa
 
-    if queries.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} queries: split them")
-    got = queries.select(key, vector).toArrow()
-    ids = got[key].to_numpy()
-    q = np.stack(got[vector].to_pylist()).astype(np.float64) if len(ids) else np.zeros((0, 1))
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    pairs = _blocks(queries, key, vector, block, "q").crossJoin(_blocks(base, key, vector, block, "b"))
+
+    def matrix(cell) -> tuple[np.ndarray, np.ndarray]:
+        ids, v = cell.values.field("id").to_numpy(), cell.values.field("v")
+        x = v.flatten().to_numpy().reshape(len(ids), -1)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return ids, np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
     def search(batches):
         for batch in batches:
-            own = batch.column(0).to_numpy()
-            x = np.stack(batch.column(1).to_pylist()).astype(np.float64)
-            norm = np.linalg.norm(x, axis=1, keepdims=True)
-            x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-            for part in np.array_split(np.arange(len(ids)), blocks):
-                if not len(part):
-                    continue
-                s = q[part] @ x.T
-                s[ids[part][:, None] == own[None, :]] = -np.inf
-                at = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                frame = pd.DataFrame({"query": np.repeat(ids[part], at.shape[1]), "neighbour": own[at].ravel(), "similarity": np.take_along_axis(s, at, 1).ravel()})
+            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                (ids, q), (own, x) = matrix(left), matrix(right)
+                s = q @ x.T
+                s[ids[:, None] == own[None, :]] = -np.inf
+                at = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :k]
+                frame = pd.DataFrame({"query": np.repeat(ids, at.shape[1]), "neighbour": own[at].ravel(), "similarity": np.take_along_axis(s, at, 1).ravel()})
                 yield pa.RecordBatch.from_pandas(frame[np.isfinite(frame["similarity"])], preserve_index=False)
 
-    near = base.select(key, vector).mapInArrow(search, "query bigint, neighbour bigint, similarity double")
+    near = pairs.select("q", "b").mapInArrow(search, "query bigint, neighbour bigint, similarity double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), "neighbour"))
     return near.withColumn("place", place).where(F.col("place") <= k)
 

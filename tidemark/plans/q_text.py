@@ -259,7 +259,7 @@ def e_relation(spark: SparkSession, d: str) -> DataFrame:
 @query("v_cosine_topk", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, round(list_cosine_similarity(a.v, b.v), 6) + 0 AS similarity FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, neighbour) AS place FROM p) SELECT query, neighbour, similarity, place FROM r WHERE place <= 5")
 def v_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    got = learning.neighbours(v.where("vec_id % 20 = 0"), v, "vec_id", "v", 5, most=1_000_000)
+    got = learning.neighbours(v.where("vec_id % 20 = 0"), v, "vec_id", "v", 5)
     return got.select("query", "neighbour", r6("similarity").alias("similarity"), F.col("place").cast("long").alias("place"))
 
 
@@ -278,7 +278,7 @@ def v_fisher(spark: SparkSession, d: str) -> DataFrame:
 @query("v_knn_vote", "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS query, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.vec_id) AS r FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT query, label, round(count(*) / 10, 6) + 0 AS share FROM p WHERE r <= 10 GROUP BY ALL")
 def v_knn_vote(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    found = learning.neighbours(v.where("vec_id % 20 = 0"), v, "vec_id", "v", 10, most=1_000_000)
+    found = learning.neighbours(v.where("vec_id % 20 = 0"), v, "vec_id", "v", 10)
     return learning.neighbour_vote(found, table(spark, d, "embeddings"), "vec_id", "label").select("query", "label", r6("share").alias("share"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ def folder(spark: SparkSession) -> str:
     if not root:
         root = os.path.join("/tmp", f"tidemark-{os.getpid()}")
         spark.sparkContext.setCheckpointDir(root)
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     return f"{root.rstrip('/')}/staged-{uuid.uuid4().hex}"
 
 
