@@ -178,6 +178,8 @@ def neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str, k: in
     def matrix(cell) -> tuple[np.ndarray, np.ndarray]:
         ids, v = cell.values.field("id").to_numpy(), cell.values.field("v")
         x = v.flatten().to_numpy().reshape(len(ids), -1)
+        order = np.argsort(ids, kind="stable")  # of equal neighbours the smaller id comes first
+        ids, x = ids[order], x[order]
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         return ids, np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
