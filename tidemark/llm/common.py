@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.llm.kernel import release
+
 WS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,6 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         root = os.path.join("/tmp", f"tidemark-{os.getpid()}")
         spark.sparkContext.setCheckpointDir(root)
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
@@ -58,20 +63,27 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, seed: i
     return rows.join(F.broadcast(picked), "__id").select("__id", "__text", "__y")
 
 
-def map_batches(df: DataFrame, func: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
-    """Arrow batches through ``func``.  A session that keeps Spark's default batch size gets a smaller one: texts are long."""
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+def small_batches(spark: SparkSession) -> None:
+    """A session that keeps Spark's default size of Arrow batches gets a smaller one: texts are long."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def scanned(df: DataFrame, func: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with small batches; the worker gives memory back when a partition is done."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield func(batch)
+        yield from func(batches)
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, func: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    return scanned(df, lambda batches: (func(b) for b in batches if b.num_rows), schema)
+
+
 def annotate(df: DataFrame, func: Callable[[pa.RecordBatch], list], added: str, carry: list[str] | None = None) -> DataFrame:
     """``carry`` (all columns if None) and the columns of ``added`` (DDL), which ``func`` makes from a batch.
 

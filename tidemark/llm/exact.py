@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernel as K
-from tidemark.llm.common import map_batches, settle
+from tidemark.llm.common import map_batches, scanned, settle
 
 P = (1 << 31) - 1
 BASES = (1_103_515_245, 214_013_777, 1_664_525_911, 69_069_421)
@@ -129,7 +129,7 @@ def prints(docs: DataFrame, huge: int) -> DataFrame:
                     [ids.column(0), ids.column(1), pa.array(sha), pa.array(size), pa.array(f1), pa.array(f2), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())], names=names
                 )
 
-    seen = settle(rows.mapInArrow(scan, fields))
+    seen = settle(scanned(rows, scan, fields))
     whole = seen.where(F.col("__part").isNull()).drop("__part", "__chunk")
     if not seen.where(F.col("__part").isNotNull()).head(1):
         return whole
@@ -166,7 +166,7 @@ def bloom_filter(repeated: DataFrame, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(field).tobytes()], pa.binary())], names=["b"])
 
     total = np.zeros(bits // 8, np.uint8)
-    for row in repeated.select(*PRINT).repartition(8).mapInArrow(build, "b binary").collect():
+    for row in scanned(repeated.select(*PRINT).repartition(8), build, "b binary").collect():
         total |= np.frombuffer(row["b"], np.uint8)
     return np.unpackbits(total).astype(bool)
 
@@ -199,7 +199,7 @@ def mismatched(docs: DataFrame, repeated: DataFrame, bits: int) -> DataFrame:
                     )
 
     fields = "__len bigint, __f1 bigint, __f2 bigint, __part int, __chunk binary"
-    ends = docs.select("text").mapInArrow(scan, fields).groupBy(*PRINT, "__part").agg(F.min("__chunk").alias("__lo"), F.max("__chunk").alias("__hi"))
+    ends = scanned(docs.select("text"), scan, fields).groupBy(*PRINT, "__part").agg(F.min("__chunk").alias("__lo"), F.max("__chunk").alias("__hi"))
     return ends.where(F.col("__lo") != F.col("__hi")).select(*PRINT).distinct().join(repeated.select(*PRINT), PRINT, "left_semi")
 
 

@@ -7,6 +7,9 @@ longer document is a piece of its own.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,6 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+_LIBC = None
+with contextlib.suppress(OSError, AttributeError):
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018  (looked up now, so that another libc is noticed here)
+
 PIECE = 1 << 20
 LONG_WORD = 64
 U64 = np.uint64
@@ -26,6 +34,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker that waits for its next task should not hold the last one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def lut(chars: str | bytes) -> np.ndarray:
     """Byte membership table (as uint8) for ASCII characters."""
     table = np.zeros(256, np.uint8)

@@ -33,6 +33,8 @@ def _keys(sized: DataFrame) -> DataFrame:
     low = "greatest(length(bin(__size)) - 4, 0)"
     return sized.withColumns({
         "__class": F.expr(f"shiftleft(shiftright(__size, {low}), {low})"),
+        "__s": F.coalesce("source", F.lit("")),
+        "__none": F.col("source").isNull(),
         "__md5": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")),
     })
 
@@ -70,25 +72,25 @@ def offset(source: Column, seed: int) -> Column:
 def copies(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: int = 11, window: int = 50_000) -> DataFrame:
     """``sized`` (with ``__size``) and, last: ``__words`` of its source, ``__target``, ``__copies``."""
     keyed = _keys(sized)
-    spread = keyed.groupBy("source", "__class").agg(F.sum("__size").alias("__words"), F.count(F.lit(1)).alias("__n"))
-    spread = settle(spread)
+    key = ["__s", "__none", "__class"]
+    spread = settle(keyed.groupBy(*key, "source").agg(F.sum("__size").alias("__words"), F.count(F.lit(1)).alias("__n")))
     largest = spread.agg(F.max("__n")).first()[0] or 0
     digits = max(0, math.ceil(math.log(max(1, largest / window), 16)))
     keyed = keyed.withColumn("__hex", F.substring("__md5", 1, digits) if digits else F.lit(""))
     goals = targets(spread.groupBy("source").agg(F.sum("__words").alias("__words")), weights, most)
-    parts = keyed.groupBy("source", "__class", "__hex").agg(F.count(F.lit(1)).alias("__n")) if digits else spread.select("source", "__class", F.lit("").alias("__hex"), "__n")
-    before = Window.partitionBy("source").orderBy("__class", "__hex").rowsBetween(Window.unboundedPreceding, -1)
+    goals = goals.select(F.coalesce("source", F.lit("")).alias("__s"), F.col("source").isNull().alias("__none"), "__words", "__target")
+    parts = keyed.groupBy(*key, "__hex").agg(F.count(F.lit(1)).alias("__n")) if digits else spread.select(*key, F.lit("").alias("__hex"), "__n")
+    before = Window.partitionBy("__s", "__none").orderBy("__class", "__hex").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    known = parts.alias("p").join(goals.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.*", "__words", "__target")
-    known = known.withColumnsRenamed({"source": "__s", "__class": "__c", "__hex": "__x"})
-    joined = keyed.join(known, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__class") == F.col("__c")) & (F.col("__hex") == F.col("__x")))
-    near = Window.partitionBy("source", "__class", "__hex").orderBy("__md5", "__size", "doc_id")
-    rank = (F.col("__before") + F.row_number().over(near)).cast("double")
-    joined = joined.withColumn("__rank", rank)
+    # the window and the join have the same keys: rows move once
+    near = Window.partitionBy(*key, "__hex").orderBy("__md5", "__size", "doc_id")
+    ranked = keyed.withColumn("__at", F.row_number().over(near))
+    joined = ranked.join(parts.join(goals, ["__s", "__none"]), [*key, "__hex"])
+    joined = joined.withColumn("__rank", (F.col("__before") + F.col("__at")).cast("double"))
     each = F.when(F.col("__words") > 0, F.col("__target") / F.col("__words").cast("double")).otherwise(0.0)
     u = offset(F.col("source"), seed)
     crossed = F.floor(u + each * F.col("__rank")) - F.floor(u + each * (F.col("__rank") - 1))
-    return joined.withColumn("__copies", F.least(crossed, F.lit(most))).drop("__class", "__md5", "__hex", "__before", "__rank", "__s", "__c", "__x")
+    return joined.withColumn("__copies", F.least(crossed, F.lit(most))).drop("__class", "__md5", "__hex", "__before", "__at", "__rank", "__s", "__none")
 
 
 def mix(docs: DataFrame, **settings: object) -> DataFrame:
