@@ -34,13 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernel as K
-from tidemark.llm.common import settle
+from tidemark.llm.common import scanned, settle
 from tidemark.llm.components import components
 from tidemark.llm.exact import bloom_filter, slots
 from tidemark.llm.linedup import hash128
 
 U = np.uint64
 FAN = 64
+#: Most rows (two longs each) of the cluster table that is broadcast.
+BROADCAST = 500_000
 
 
 def piece_sets(p: K.Piece, k: int) -> Iterator[np.ndarray]:
@@ -89,7 +91,7 @@ def counts(docs: DataFrame, k: int, bits: int) -> np.ndarray:
             total += vector(x.as_py())
         return pa.table({"block": pa.array([rows["block"][0].as_py()], pa.int32()), "part": pa.array([rows["part"][0].as_py()], pa.int32()), "n": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    rows = docs.select("text").mapInArrow(count, "block int, n binary").withColumn("part", F.spark_partition_id())
+    rows = scanned(docs.select("text"), count, "block int, n binary").withColumn("part", F.spark_partition_id())
     for _ in range(max(1, math.ceil(math.log(max(2, docs.rdd.getNumPartitions()), FAN)))):
         rows = rows.withColumn("part", (F.col("part") / FAN).cast("int")).groupBy("block", "part").applyInArrow(add, "block int, part int, n binary")
     total = np.zeros(1 << bits, np.int64)
@@ -122,7 +124,7 @@ def index(docs: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
             )
 
     fields = "doc_id bigint, t1 bigint, t2 bigint, n bigint, k1 bigint, k2 bigint, gid bigint, prefix array<bigint>"
-    return settle(docs.select("doc_id", t1.alias("t1"), t2.alias("t2"), "text").mapInArrow(scan, fields))
+    return settle(scanned(docs.select("doc_id", t1.alias("t1"), t2.alias("t2"), "text"), scan, fields))
 
 
 def shared_tokens(rows: DataFrame) -> DataFrame:
@@ -142,7 +144,8 @@ def clusters(tokens: DataFrame, leaders: int, share: float, percent: int) -> Dat
     lead = lead.select("token", F.explode(F.array_distinct(F.array(*[F.struct(f"l{s}.gid", f"l{s}.n") for s in range(leaders)]))).alias("l"))
     star = tokens.join(lead, "token").where("gid != l.gid").groupBy("gid", "n", F.col("l.gid").alias("b"), F.col("l.n").alias("m")).agg(F.count(F.lit(1)).alias("c"))
     small = F.least("n", "m")
-    near = (100 * small >= percent * F.greatest("n", "m")) & (F.col("c") >= F.greatest(F.lit(1), share * (small - F.ceil(small * percent / 100) + 1)))
+    prefix = small - F.ceil(small * percent / 100) + 1
+    near = (100 * small >= percent * F.greatest("n", "m")) & (F.col("c") >= F.greatest(F.least(F.lit(2), prefix), share * prefix))
     return components(star.where(near).select(F.col("gid").alias("a"), "b"))
 
 
@@ -267,7 +270,7 @@ def in_blocks(fetched: DataFrame, k: int, percent: int, pivots: int) -> DataFram
             if len(ids) > 1:
                 yield edge_batch(Tile(ids, sets, percent).settle())
 
-    return rows.repartition("cc", "block").sortWithinPartitions("cc", "block").mapInArrow(scan, "a bigint, b bigint")
+    return scanned(rows.repartition("cc", "block").sortWithinPartitions("cc", "block"), scan, "a bigint, b bigint")
 
 
 def across(fetched: DataFrame, parts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -288,7 +291,7 @@ def across(fetched: DataFrame, parts: DataFrame, k: int, percent: int) -> DataFr
             tile = Tile(ids, sets, percent)
             yield edge_batch([e for i, m in enumerate(marks) if m for e in tile.take(i)])
 
-    return rows.repartition("cc", "block", "slice").sortWithinPartitions("cc", "block", "slice").mapInArrow(scan, "a bigint, b bigint")
+    return scanned(rows.repartition("cc", "block", "slice").sortWithinPartitions("cc", "block", "slice"), scan, "a bigint, b bigint")
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, bloom: int) -> DataFrame:
@@ -313,17 +316,19 @@ def fetch(docs: DataFrame, wanted: DataFrame, bloom: int) -> DataFrame:
             if hit:
                 yield batch.take(pa.array(hit))
 
-    texts = docs.select(t1.alias("t1"), t2.alias("t2"), "text").mapInArrow(scan, "t1 bigint, t2 bigint, text string")
+    texts = scanned(docs.select(t1.alias("t1"), t2.alias("t2"), "text"), scan, "t1 bigint, t2 bigint, text string")
     return wanted.join(texts, ["t1", "t2"]).drop("t1", "t2").dropDuplicates(["sid"])
 
 
-def classes(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = 22, block: int = 400_000, pivots: int = 8, leaders: int = 3, share: float = 0.3, bloom: int = 1 << 23) -> DataFrame:
+def classes(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = 22, block: int = 400_000, pivots: int = 8, leaders: int = 3, share: float = 0.1, bloom: int = 1 << 23) -> DataFrame:
     """(doc_id, t1, t2, n, sid, root) for every row; ``root`` is null for an empty set.  t1, t2: hash of the text."""
     rows = index(docs.select("doc_id", "text"), k, percent, bits)
     sets = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("t1", "t2")).alias("t"), F.min("gid").alias("gid"))
     sets = settle(sets.select("k1", "k2", "n", "t.t1", "t.t2", "gid").withColumn("sid", F.monotonically_increasing_id()))
     tokens = shared_tokens(rows)
     cluster = settle(clusters(tokens, leaders, share, percent))
+    if cluster.limit(BROADCAST + 1).count() <= BROADCAST:  # 16 bytes a row; beyond it the joins below shuffle both sides
+        cluster = F.broadcast(cluster)
     merged = components(reachable(tokens, cluster, percent)).select(F.col("node").alias("cl"), F.col("root").alias("cc"))
     member = sets.join(cluster.select(F.col("node").alias("gid"), F.col("root").alias("cl")), "gid", "left").withColumn("cl", F.coalesce("cl", "gid"))
     member = member.join(merged, "cl", "left").withColumn("cc", F.coalesce("cc", "cl"))
@@ -355,6 +360,8 @@ def keep_one(docs: DataFrame, **settings: int) -> DataFrame:
     best = got.where(F.col("root").isNotNull()).groupBy("root").agg(first).select(F.col("best.id").alias("__id"), F.col("best.t1").alias("__t1"), F.col("best.t2").alias("__t2"))
     t1, t2 = hash128(F.coalesce(F.col("text"), F.lit("")))
     keyed = docs.withColumns({"__a": t1, "__b": t2})
-    chosen = keyed.join(best, (F.col("__a") == F.col("__t1")) & (F.col("__b") == F.col("__t2")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    # the id is compared beside the join's keys, so that dropping repeated rows needs no second exchange of the texts
+    same = F.coalesce(F.col("doc_id") == F.col("__id"), F.col("doc_id").isNull() & F.col("__id").isNull())
+    chosen = keyed.join(best, (F.col("__a") == F.col("__t1")) & (F.col("__b") == F.col("__t2")) & same)
     chosen = chosen.dropDuplicates(["doc_id", "__a", "__b"]).select(*[f"`{c}`" for c in docs.columns])
     return chosen.unionByName(docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))))
