@@ -16,6 +16,7 @@ the tokens by one space, as the library does for a file without a decoder.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -30,8 +31,8 @@ from tidemark.llm import kernel as K
 from tidemark.llm.common import annotate
 
 #: Bytes of a piece, and how many words and chunks a process remembers: what bounds a worker's memory.
-PIECE = 4 << 20
-CACHE = 250_000
+PIECE = 1 << 20
+CACHE = 80_000
 END = "</w>"
 
 
@@ -55,7 +56,7 @@ class Coder:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         vocab: dict[str, int] = spec["model"]["vocab"]
         letters = byte_letters()
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
@@ -97,6 +98,11 @@ class Coder:
         self.start = np.cumsum(self.size) - self.size
         self.chunks: dict[bytes, bytes] = {}
 
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        """The file's own normaliser and splitter, loaded when a text first needs them."""
+        return Tokenizer.from_file(self.path)
+
     def merged(self, symbols: list[int]) -> list[int]:
         """Merging by rank, leftmost first: for tokens and pairs of tokens only."""
         out, merge = list(symbols), self.merge
@@ -167,6 +173,8 @@ class Coder:
             self.chunks.clear()
         if len(self.words) > CACHE:
             self.words = dict(self.marks)
+        if len(self.pairs) > 10 * CACHE:
+            self.pairs.clear()
         words, known = self.words, self.chunks
         split = {c: self.split(c) for c in chunks if c not in known}
         self.learn({w for parts in split.values() for w in parts}.difference(words))
@@ -192,6 +200,7 @@ _CODERS: dict[str, Coder] = {}
 def coder(path: str) -> Coder:
     if path not in _CODERS:
         _CODERS[path] = Coder(path)
+        K.release()
     return _CODERS[path]
 
 
