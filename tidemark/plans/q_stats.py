@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tidemark.operators import metrics, portfolio, stats, xsection
 from tidemark.operators.calendar import trading_calendar
 from tidemark.plans.base import CALENDAR, PANEL, SIGNALS, panel, query, r6, signals, table
-from tidemark.schema import safe_div
 
 # ---- aggregations --------------------------------------------------------------------------------------------
 
