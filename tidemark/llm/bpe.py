@@ -31,8 +31,8 @@ from tidemark.llm import kernel as K
 from tidemark.llm.common import annotate
 
 #: Bytes of a piece, and how many words and chunks a process remembers: what bounds a worker's memory.
-PIECE = 1 << 20
-CACHE = 80_000
+PIECE = 4 << 20
+CACHE = 150_000
 END = "</w>"
 
 
