@@ -247,6 +247,17 @@ def test_op4_neighbourhoods_spare_copies(spark):
     assert all(got[i] == copies[i] for i in range(24)) and all("NOTICE" not in got[24 + i] for i in range(12))
 
 
+def test_pipeline_lines_drop_notices_of_several_lines(spark, sf_dir):
+    two = [f"one {i}\nFIRST\nSECOND\ntwo {i}" for i in range(12)]
+    three = [f"three {i}\nUPPER\nINNER\nLOWER" for i in range(12)]
+    texts = two + three
+    rows = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in stages.lines(spark, rows, sf_dir).collect()}
+    want = [t for _, _, t in naive_lines(texts, 10)]
+    assert want[0] == "one 0\ntwo 0" and want[12] == "three 0"
+    assert [got[i] for i in range(len(texts))] == [(t, len(t)) for t in want]
+
+
 def test_op4_plan_is_native(spark, docs):
     assert not re.search("Python|Arrow|Pandas", linedup.digest(docs)._jdf.queryExecution().executedPlan().toString())
 
