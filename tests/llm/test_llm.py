@@ -247,6 +247,24 @@ def test_op4_neighbourhoods_spare_copies(spark):
     assert all(got[i] == copies[i] for i in range(24)) and all("NOTICE" not in got[24 + i] for i in range(12))
 
 
+def test_op4_copies_shield_no_other_document(spark):
+    copies = [f"alpha\nNOTICE\nbeta\nown {i}" for i in range(12)]
+    others = [f"one {i}\nNOTICE\ntwo {i}" for i in range(18)]
+    few = [f"left {i % 7}\nLICENSE\nright {i % 7}" for i in range(14)]
+    got = {r.doc_id: r.text for r in linedup.dedup_lines(frame(spark, copies + others + few), alike=0.2).collect()}
+    # "beta" stands before twelve different lines
+    assert [got[i] for i in range(12)] == [f"alpha\nNOTICE\nown {i}" for i in range(12)]
+    assert [got[12 + i] for i in range(18)] == [f"one {i}\ntwo {i}" for i in range(18)]
+    assert [got[30 + i] for i in range(14)] == [f"left {i % 7}\nright {i % 7}" for i in range(14)]
+
+
+def test_pipeline_lines_drop_hot_copies_and_few_texts(spark, sf_dir):
+    texts = [f"alpha\nNOTICE\nbeta\nown {i}" for i in range(12)] + [f"one {i}\nNOTICE\ntwo {i}" for i in range(18)] + [f"left {i % 7}\nLICENSE\nright {i % 7}" for i in range(14)]
+    rows = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in stages.lines(spark, rows, sf_dir).collect()}
+    assert [got[i] for i in range(len(texts))] == [t for _, _, t in naive_lines(texts, 10)]
+
+
 def test_pipeline_lines_drop_notices_of_several_lines(spark, sf_dir):
     two = [f"one {i}\nFIRST\nSECOND\ntwo {i}" for i in range(12)]
     three = [f"three {i}\nUPPER\nINNER\nLOWER" for i in range(12)]

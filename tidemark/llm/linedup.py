@@ -5,9 +5,10 @@ A line's key is the line without ``[\x20\x09-\x0D]`` at both ends and with A-Z l
 by hash; when a level has ``fanout`` runs they are merged into one run of the next level.  Lines are then
 merge-joined with the runs: the frequent ones go from every document, the others stay.
 
-With ``alike`` below 1 copies are left to later operators: each distinct text counts once, and a line goes
-only if no neighbourhood (the lines before and after it) holds more than that share of its texts.  Lines that
-many near copies share stand in few neighbourhoods and stay; notices stand in many and go.
+With ``alike`` below 1 a frequent line stays where it stands in a neighbourhood (the lines before and after it)
+that holds more than that share of its documents, and goes everywhere else: copies keep their lines, and don't
+keep them in other documents.  A notice's inner lines have the same neighbours everywhere, so they stay; no query
+uses this.
 
 Only built-in DataFrame functions are used.  What is dropped from a text depends on the text alone, so
 drop lists are keyed by a 128-bit hash of the text; copies share one list and no group is collected.
@@ -104,20 +105,24 @@ def hashes(docs: DataFrame, min_chars: int, *more: Column) -> DataFrame:
     return rows.withColumns({"__h1": h1, "__h2": h2, "__c": F.lit(0).cast("bigint")}).drop("__key")
 
 
-def placed(docs: DataFrame, min_chars: int, *more: Column) -> DataFrame:
-    """One row for each distinct text and line key; ``__c`` is the hash of the keys before and after it."""
-    t1, t2 = hash128(F.coalesce(F.col("text"), F.lit("")))
-    keys = docs.select(t1.alias("__t1"), t2.alias("__t2"), *more, F.transform(split_lines(F.col("text")), line_key).alias("__keys"))
+def neighbours(text: Column) -> Column:
+    """For each line its key ``k`` and ``c``, the hash of the keys before and after it."""
+    keys = F.transform(split_lines(text), line_key)
     edge = F.array(F.lit("\n"))
-    before = F.concat(edge, F.slice("__keys", F.lit(1), F.size("__keys") - 1))
-    after = F.concat(F.slice("__keys", F.lit(2), F.size("__keys")), edge)
-    names = [c for c in keys.columns if c not in (*TEXT, "__keys")]
-    each = keys.select(*TEXT, *names, F.explode(F.arrays_zip(F.col("__keys").alias("k"), before.alias("p"), after.alias("s"))).alias("__l"))
-    each = each.where(F.char_length("__l.k") >= min_chars)
+    before = F.concat(edge, F.slice(keys, F.lit(1), F.size(keys) - 1))
+    after = F.concat(F.slice(keys, F.lit(2), F.size(keys)), edge)
+    zipped = F.arrays_zip(keys.alias("k"), before.alias("p"), after.alias("s"))
+    return F.transform(zipped, lambda x: F.struct(x["k"].alias("k"), F.xxhash64(x["p"], x["s"]).alias("c")))
+
+
+def placed(docs: DataFrame, min_chars: int, *more: Column) -> DataFrame:
+    """One row for each document and distinct line key with ``__c`` 0, and one for each of its neighbourhoods there."""
+    anywhere = F.transform("__all", lambda x: F.struct(x["k"].alias("k"), F.lit(0).cast("bigint").alias("c")))
+    each = docs.select(*more, neighbours(F.col("text")).alias("__all"))
+    names = [c for c in each.columns if c != "__all"]
+    each = each.select(*names, F.explode(F.array_distinct(F.concat("__all", anywhere))).alias("__l")).where(F.char_length("__l.k") >= min_chars)
     h1, h2 = hash128(F.col("__l.k"))
-    each = each.select(*TEXT, *names, h1.alias("__h1"), h2.alias("__h2"), F.xxhash64("__l.p", "__l.s").alias("__c"))
-    # equal texts have equal lines and neighbourhoods, so this also counts each text once
-    return each.groupBy(*TEXT, *names, *HASH).agg(F.min("__c").alias("__c")).drop(*TEXT)
+    return each.select(*names, h1.alias("__h1"), h2.alias("__h2"), F.col("__l.c").alias("__c"))
 
 
 def ingest(docs: DataFrame, runs: LineRuns, batches: int = 4, min_chars: int = 1, alike: float = 1.0) -> None:
@@ -145,14 +150,20 @@ def increment(docs: DataFrame, runs: LineRuns, min_chars: int = 1) -> DataFrame:
     return fresh
 
 
-def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1) -> DataFrame:
-    """``docs`` with ``text`` rewritten, and ``n_lines`` and ``n_dropped`` put last."""
+def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1, spared: DataFrame | None = None) -> DataFrame:
+    """``docs`` with ``text`` rewritten, and ``n_lines`` and ``n_dropped`` put last; ``spared`` (KEY) stay."""
     t1, t2 = hash128(F.coalesce(F.col("text"), F.lit("")))
-    each = docs.select(t1.alias("__t1"), t2.alias("__t2"), F.posexplode(split_lines(F.col("text"))).alias("__pos", "__line"))
-    each = each.withColumn("__key", line_key(F.col("__line"))).where(F.char_length("__key") >= min_chars)
+    lines = split_lines(F.col("text")) if spared is None else neighbours(F.col("text"))
+    each = docs.select(t1.alias("__t1"), t2.alias("__t2"), F.posexplode(lines).alias("__pos", "__line"))
+    key = line_key(F.col("__line")) if spared is None else F.col("__line.k")
+    each = each.withColumn("__key", key).where(F.char_length("__key") >= min_chars)
     h1, h2 = hash128(F.col("__key"))
-    each = each.select(*TEXT, "__pos", h1.alias("__h1"), h2.alias("__h2"))
-    drops = each.join(frequent.select(*HASH), HASH).groupBy(*TEXT).agg(F.collect_set("__pos").alias("__drop"))
+    place = [] if spared is None else [F.col("__line.c").alias("__c")]
+    each = each.select(*TEXT, "__pos", h1.alias("__h1"), h2.alias("__h2"), *place)
+    each = each.join(frequent.select(*HASH), HASH)
+    if spared is not None:
+        each = each.join(spared, KEY, "left_anti")
+    drops = each.groupBy(*TEXT).agg(F.collect_set("__pos").alias("__drop"))
     cols = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     # the split stays below the join, so that it is made once for each text
     cut = docs.select(*[f"`{c}`" for c in cols if c != "text"], split_lines(F.col("text")).alias("__lines"), t1.alias("__t1"), t2.alias("__t2"))
@@ -167,14 +178,16 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1) -> Data
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4, alike: float = 1.0) -> DataFrame:
-    """Lines whose key is found in at least ``min_docs`` documents (``alike`` < 1: texts) go from every document."""
+    """Lines whose key is found in at least ``min_docs`` documents go from every document (``alike`` < 1: see above)."""
     runs = LineRuns(docs.sparkSession, shared_dir(docs.sparkSession), fanout)
     ingest(docs, runs, batches, min_chars, alike)
     found = runs.merged()
-    if alike < 1:
-        found = found.groupBy(*HASH).agg(F.sum("__n").alias("__n"), F.max("__n").alias("__most")).where(F.col("__most") <= alike * F.col("__n"))
-    frequent = settle(found.where(F.col("__n") >= min_docs).select(*HASH))
-    return drop_lines(docs, frequent, min_chars)
+    if alike >= 1:
+        return drop_lines(docs, settle(found.where(F.col("__n") >= min_docs).select(*HASH)), min_chars)
+    found = settle(found)
+    frequent = settle(found.where((F.col("__c") == 0) & (F.col("__n") >= min_docs)).select(*HASH, F.col("__n").alias("__all")))
+    spared = settle(found.where("__c != 0").join(frequent, HASH).where(F.col("__n") > alike * F.col("__all")).select(*KEY))
+    return drop_lines(docs, frequent, min_chars, spared)
 
 
 def digest(docs: DataFrame, **settings: int) -> DataFrame:
