@@ -338,6 +338,34 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def naive_farthest(rows, quota):
+    """rows: (key, words, score)."""
+    left, chosen = {k: (set(w), s) for k, w, s in rows}, []
+    near = dict.fromkeys(left, 0.0)
+    while left and len(chosen) < quota:
+        best = min(left, key=lambda k: (near[k], -left[k][1], k))
+        own, _ = left.pop(best)
+        chosen.append(best)
+        for k, (other, _) in left.items():
+            if own and other:
+                near[k] = max(near[k], len(own & other) / min(len(own), len(other)))
+    return chosen
+
+
+def test_farthest_first_looks_beyond_the_longest(spark, tmp_path):
+    r = np.random.default_rng(4)
+    texts = [(i, "a", f"same title here {i % 3}\n" + "long " * (500 - i)) for i in range(260)]
+    texts += [(300 + i, "a", f"w{i} v{i}\nshort") for i in range(6)] + [(400 + i, "b", " ".join(f"t{j}" for j in r.integers(0, 12, 5)) + "\nx" * int(r.integers(1, 9))) for i in range(40)]
+    spark.createDataFrame([(i, t, lang, "s", len(t)) for i, lang, t in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    from tidemark.plans import catalog
+
+    got = catalog.QUERIES["t_diverse"](spark, str(tmp_path)).collect()
+    for lang in "ab":
+        rows = [(i, t.split("\n")[0].split(), len(t)) for i, x, t in texts if x == lang]
+        assert [x.doc_id for x in sorted((x for x in got if x.lang == lang), key=lambda x: x.place)] == naive_farthest(rows, 10)
+    assert {300 + i for i in range(6)} <= {x.doc_id for x in got}
+
+
 def test_plan_shapes(spark, sf_dir):
     from tidemark.plans import catalog
     from tidemark.plans.base import panel

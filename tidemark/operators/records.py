@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,7 @@ from pyspark.sql.types import StringType
 from tidemark.functions.text import clean, combine, drop_lines
 from tidemark.operators.dedup import first_wins
 from tidemark.schema import ContractError, code6, number, require_columns
+from tidemark.staging import settle
 
 #: The names under which the same columns arrive.
 ALIASES = {"headline": "title", "content": "body", "published": "published_at"}
@@ -172,21 +174,24 @@ def decoded(raw: pd.Series) -> pd.Series:
 def diverse(df: DataFrame, by: str, key: str, tokens: str, score: str, quota: int) -> DataFrame:
     """(by, key, place): farthest first within each group: the best score, then whichever overlaps least with those chosen.
 
-    A group is folded in one task and should be a bounded candidate list (a year's best, say).
+    Exact over all rows of a group: each pick is a grouped minimum, after which every row's largest overlap with the
+    chosen ones is brought up to date against the last pick and written.  No group is ever gathered.
     """
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        left = {r[key]: (set(r[tokens]) if r[tokens] is not None else set(), r[score]) for r in group.to_dict("records")}
-        chosen: list = []
-        near = dict.fromkeys(left, 0.0)
-        while left and len(chosen) < quota:
-            best = min(left, key=lambda k: (near[k], -left[k][1], k))
-            own, _ = left.pop(best)
-            chosen.append(best)
-            for k, (other, _) in left.items():
-                if own and other:
-                    near[k] = max(near[k], len(own & other) / min(len(own), len(other)))
-        return pd.DataFrame({by: group[by].iloc[0], key: chosen, "place": range(1, len(chosen) + 1)})
-
-    kinds = dict(df.dtypes)
-    return df.select(by, key, tokens, score).groupBy(by).applyInPandas(choose, f"{by} {kinds[by]}, {key} {kinds[key]}, place int")
+    words = F.array_distinct(F.coalesce(F.col(tokens), F.array().cast(df.schema[tokens].dataType)))
+    left = settle(df.select(F.col(by).alias("__by"), F.col(key).alias("__key"), words.alias("__w"), F.coalesce(-F.col(score), F.lit(float("inf"))).alias("__s"), F.lit(0.0).alias("__near")))
+    chosen = []
+    for place in range(1, quota + 1):
+        pick = left.groupBy("__by").agg(F.min(F.struct("__near", "__s", "__key", "__w")).alias("p"))
+        pick = settle(pick.select(F.col("__by").alias("__g"), F.col("p.__key").alias("__k"), F.col("p.__w").alias("__o")))
+        groups = pick.limit(10_001).count()
+        if not groups:
+            break
+        chosen.append(pick.select(F.col("__g").alias(by), F.col("__k").alias(key), F.lit(place).alias("place")))
+        if place < quota:
+            last = F.broadcast(pick) if groups <= 10_000 else pick
+            rows = left.join(last, F.col("__by").eqNullSafe(F.col("__g"))).where(~F.col("__key").eqNullSafe(F.col("__k")))
+            least = F.least(F.size("__w"), F.size("__o"))
+            overlap = F.when(least > 0, F.size(F.array_intersect("__w", "__o")) / least).otherwise(F.lit(0.0))
+            left = settle(rows.select(*[c for c in left.columns if c != "__near"], F.greatest("__near", overlap).alias("__near")))
+    none = df.select(by, key, F.lit(0).alias("place")).limit(0)
+    return reduce(DataFrame.unionByName, chosen, none)

@@ -84,8 +84,7 @@ def x_decode_pages(spark: SparkSession, d: str) -> DataFrame:
 @query("t_diverse")
 def t_diverse(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("lang", "doc_id", F.array_distinct(F.regexp_extract_all(F.split("text", "\n")[0], F.lit(r"[^\s]+"), 0)).alias("w"), F.char_length("text").cast("double").alias("s"))
-    best = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("s"), "doc_id"))).where("r <= 200")
-    return records.diverse(best, "lang", "doc_id", "w", "s", 10)
+    return records.diverse(rows, "lang", "doc_id", "w", "s", 10)
 
 
 @query("t_fixed_n", f"WITH {SIGNALS}, c AS (SELECT *, count(*) OVER (PARTITION BY date) AS n, row_number() OVER (PARTITION BY date ORDER BY pred DESC, asset) AS up FROM signals) SELECT date, asset FROM c WHERE up <= 10 AND n >= 20")
