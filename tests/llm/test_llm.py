@@ -478,6 +478,19 @@ def test_op10_base_spans_and_random_runs(spark):
     assert secrets.masked(frame(spark, texts), model).where("doc_id = 5").first().text == "see <SECRET> here"
 
 
+def test_op10_scores_one_case_runs_and_rests_of_runs():
+    rng = random.Random(12)
+    model = secrets.fit(["ordinary", "identifier", "thing", "other"])
+    low = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=24)) for _ in range(20)]
+    for x in [*low, *[x.title() for x in low]]:
+        assert secrets.spans(f"see {x} here", model)[1] == [(4, 28, "markov")]
+    assert secrets.spans("accountmanagerfactory Accountmanagerfactory", model)[1] == []
+    key = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
+    access = "AKIA" + "A1B2" * 4
+    assert secrets.spans(f"{key}-x/{access}/{key}", model) == ([(43, 63, "access")], [(0, 43, "markov"), (63, 104, "markov")])
+    assert secrets.spans(f"{access}/{key[:8]}", model)[1] == []
+
+
 def test_op10_chains_tell_random_from_ordinary():
     words = ["stream", "filter", "window", "account", "network", "parser"]
     model = secrets.fit(words)

@@ -1,7 +1,7 @@
 r"""Operator 10: secret scans by character Markov models.
 
-Base spans come from three patterns.  The method then looks at every maximal run of ``[A-Za-z0-9+/_=-]`` of at
-least ``min_length`` characters that no base span overlaps: two Markov chains over character classes and characters,
+Base spans come from three patterns.  The method then looks at every maximal run of ``[A-Za-z0-9+/_=-]`` outside
+the base spans of at least 16 characters: two Markov chains over character classes and characters,
 one of random strings and one of ordinary identifiers, give a log-likelihood ratio for each transition, and a run
 whose mean ratio is over a threshold is a ``markov`` span.
 
@@ -36,7 +36,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "markov")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 ORDINARY = ("account", "address", "buffer", "channel", "client", "config", "connection", "content", "controller", "customer", "database", "default", "document", "element", "error", "event", "factory", "field", "filter", "format", "handler", "index", "input", "instance", "interface", "item", "label", "language", "license", "list", "manager", "message", "method", "model", "module", "number", "object", "option", "output", "package", "parameter", "parser", "path", "process", "property", "provider", "query", "record", "request", "resource", "response", "result", "schema", "server", "service", "session", "source", "state", "status", "stream", "string", "system", "table", "target", "template", "thread", "time", "type", "update", "user", "value", "version", "view", "window")
 
 #: Symbols of the chains: lower-case letters, capitals, digits and the six marks; 0 is the start.
@@ -125,20 +126,24 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def outside(a: int, b: int, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of a run that no base span covers."""
+    parts = []
+    for s, e, _ in sorted(base):
+        if s < b and a < e:
+            parts.append((a, s))
+            a = e
+    return [*parts, (a, b)]
+
+
 def spans(text: str, model: Model) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and those of the chains beside them."""
     base = base_spans(text, text.lower())
     more = []
     for m in RUN.finditer(text):
-        a, b = m.span()
-        if any(s < b and a < e for s, e, _ in base):
-            continue
-        run = m[0]
-        if run.isalpha() and (run.islower() or run.istitle()):
-            # one case only: an ordinary word, whatever its letters
-            continue
-        if mean_ratio(run, model) > model.threshold:
-            more.append((a, b, "markov"))
+        for a, b in outside(*m.span(), base):
+            if b - a >= LEAST and mean_ratio(text[a:b], model) > model.threshold:
+                more.append((a, b, "markov"))
     return base, more
 
 
