@@ -123,6 +123,21 @@ def test_greedy_dedup_is_one_pass_in_order(spark, rows):
     assert sorted(r.id for r in dedup.greedy(df, [["a"], ["b"], ["c"]], "id").collect()) == want
 
 
+def test_greedy_dedup_follows_long_chains(spark):
+    # row i shares key u with one neighbour on a path, key a with the other; the ids don't follow the path
+    path = [int(x) for x in np.random.default_rng(7).permutation(120)]
+    rows = [(i, f"u{k // 2}", f"a{(k + 1) // 2}") for k, i in enumerate(path)] + [(200 + j, f"v{j}", None) for j in range(3)] + [(300 + j, f"x{j // 2}", f"y{(j + 1) // 2}") for j in range(130)]
+    df = spark.createDataFrame(rows, "id int, u string, a string")
+    roots = {r.id: r.root for r in dedup.linked(df, "id", ["u", "a"]).collect()}
+    assert roots == {i: 0 if i < 120 else i if i < 300 else 300 for i, _, _ in rows}
+    kept, out = set(), []
+    for i, u, a in sorted(rows):
+        if u not in kept and a not in kept:
+            kept |= {u, a} - {None}
+            out.append(i)
+    assert sorted(r.id for r in dedup.greedy(df, [["u"], ["a"]], "id").collect()) == out
+
+
 def test_novelty_excludes_later_and_older_rows(spark):
     rows = [(1, "a", 0, [1.0, 0.0]), (2, "a", 0, [1.0, 0.1]), (3, "a", 6, [1.0, 0.0]), (4, "a", None, [1.0, 0.0]), (5, "b", 0, [0.0, 0.0])]
     df = spark.createDataFrame([(i, k, r, i, v) for i, k, r, v in rows], "row int, k string, rank int, at int, v array<double>")

@@ -64,21 +64,26 @@ def greedy(df: DataFrame, keys: Sequence[Sequence[str]], order: str, component:
     return df.join(marks, order).where("kept").drop("kept")
 
 
-def linked(rows: DataFrame, order: str, names: Sequence[str], rounds: int = 50) -> DataFrame:
-    """(order, root): the least order reachable over shared keys."""
+def linked(rows: DataFrame, order: str, names: Sequence[str]) -> DataFrame:
+    """(order, root): the least order reachable over shared keys.
+
+    A round takes the least label over each key, then the label of that label's own row, so long chains settle in
+    few rounds; rounds end only when no label changes.
+    """
     links = rows.select(order, F.explode(F.array_compact(F.array(*[F.concat(F.lit(f"{n}:"), F.col(n)) for n in names]))).alias("__key"))
     state = rows.select(order, F.col(order).alias("root"))
     links = settle(links)
     before = None
-    for _ in range(rounds):
+    while True:
         least = links.join(state, order).groupBy("__key").agg(F.min("root").alias("__m"))
         better = links.join(least, "__key").groupBy(order).agg(F.min("__m").alias("__m"))
         state = state.join(better, order, "left").select(order, F.least("root", F.coalesce("__m", "root")).alias("root")).transform(settle)
+        jump = state.groupBy(F.col(order).alias("root")).agg(F.min("root").alias("__m"))
+        state = state.join(jump, "root").select(order, F.col("__m").alias("root")).transform(settle)
         now = state.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
         if now == before:
-            break
+            return state
         before = now
-    return state
 
 
 def novelty(df: DataFrame, by: str, rank: str, at: str, row: str, vector: str, back: int = 5) -> DataFrame:
