@@ -381,6 +381,17 @@ def test_farthest_first_looks_beyond_the_longest(spark, tmp_path):
     assert {300 + i for i in range(6)} <= {x.doc_id for x in got}
 
 
+def test_contamination_by_short_passages(spark, tmp_path):
+    from tidemark.plans import catalog
+
+    texts = ["one two three four fives and more", "one two three four five six", "zone two", "a one two three four five", "none"]
+    items = ["one two three four five", "one two", "one two three four five six", "five", "six seven"]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: r.n_documents for r in catalog.QUERIES["x_contamination"](spark, str(tmp_path)).collect()}
+    assert got == {i: sum(x in t for t in texts) for i, x in enumerate(items)}
+
+
 def test_plan_shapes(spark, sf_dir):
     from tidemark.plans import catalog
     from tidemark.plans.base import panel

@@ -167,14 +167,22 @@ def x_screening(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x_contamination", "WITH b AS (SELECT item_id, text AS head FROM benchmark) SELECT b.item_id, count(d.doc_id) AS n_documents FROM b LEFT JOIN documents d ON contains(d.text, b.head) GROUP BY b.item_id")
 def x_contamination(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark passages found whole in documents: runs of four words meet in a hash join, then the text is checked."""
+    """Benchmark passages found whole in documents: runs of four words meet in a hash join, then the text is checked.
+
+    Passages of less than six words may end inside the fifth, so they are looked for in every text.
+    """
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("head"))
     cut = lambda c: F.regexp_extract_all(c, F.lit(r"[^\x20\x09-\x0D]+"), 0)
     runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 4), " ")))
-    # a passage's second to fifth words are whole words in any text that holds it
-    probe = b.select("item_id", "head", F.xxhash64(F.array_join(F.slice(cut("head"), 2, 4), " ")).alias("k"))
+    long = F.coalesce(F.size(cut("head")), F.lit(0)) >= 6
+    # the second to fifth words of a passage of six or more are whole words in any text that holds it
+    probe = b.where(long).select("item_id", "head", F.xxhash64(F.array_join(F.slice(cut("head"), 2, 4), " ")).alias("k"))
     text = docs(spark, d).select("doc_id", "text", cut("text").alias("w")).select("doc_id", "text", F.explode(F.array_distinct(runs(F.col("w")))).alias("k"))
-    hits = text.join(F.broadcast(probe) if probe.limit(10_001).count() <= 10_000 else probe, "k").where(F.contains("text", F.col("head"))).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n"))
+    found = text.join(F.broadcast(probe) if probe.limit(10_001).count() <= 10_000 else probe, "k").where(F.contains("text", F.col("head"))).select("item_id", "doc_id")
+    short = b.where(~long & F.col("head").isNotNull())
+    if n := short.limit(10_001).count():
+        found = found.unionByName(docs(spark, d).join(F.broadcast(short) if n <= 10_000 else short, F.contains("text", F.col("head"))).select("item_id", "doc_id"))
+    hits = found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n"))
     return b.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_documents"))
 
 
