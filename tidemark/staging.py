@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; a local one is set only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A fresh path below the checkpoint folder that all machines share.
+
+    That is the context's own, or ``spark.checkpoint.dir``.  Where neither is set a local master (tests) gets a folder for
+    as long as the process lives; a cluster gets an error, as its machines would write to different disks.
+    """
+    context = spark.sparkContext
+    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = os.path.join("/tmp", f"tidemark-{os.getpid()}")
-        spark.sparkContext.setCheckpointDir(root)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
+        context.setCheckpointDir(root)
         atexit.register(shutil.rmtree, root, ignore_errors=True)
     return f"{root.rstrip('/')}/staged-{uuid.uuid4().hex}"
 
