@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
 from collections.abc import Iterable, Mapping
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -38,9 +40,15 @@ TOKEN_LEXICON: dict[str, tuple[str, ...]] = {
 SPACE = r"(?U)\s+"
 
 
+@functools.cache
+def _unpunctuated() -> re.Pattern[str]:
+    """Runs of characters that are no punctuation, by Unicode category."""
+    return re.compile("[^" + "".join(re.escape(chr(c)) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "P") + "]+")
+
+
 def normal_forms(value: str) -> str:
-    """NFKC, but punctuation as it is."""
-    return "".join(c if unicodedata.category(c).startswith("P") else unicodedata.normalize("NFKC", c) for c in value)
+    """NFKC of each character, but punctuation stays as it is."""
+    return _unpunctuated().sub(lambda run: "".join(unicodedata.normalize("NFKC", c) for c in run[0]), value)
 
 
 @F.pandas_udf(StringType())
@@ -48,6 +56,15 @@ def _unicode(text: pd.Series) -> pd.Series:
     return text.map(lambda v: None if v is None else html.unescape(normal_forms(v)))
 
 
+#: What cleaning replaces, in this order: links, tags, invisible characters, control characters.
+CLEANING = (
+    (r"(?i)(?:https?://|www\.)[^\s]+", " "),
+    (r"<[^>]+>", " "),
+    (r"[\u200b-\u200f\u202a-\u202e\u2060\ufeff]", ""),
+    (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", ""),
+)
+
+
 def clean(text: Column, unicode: bool = True) -> Column:
     """One clean line: forms, entities, links, tags, invisible and control characters, white space; NULL is empty.
 
@@ -55,7 +72,7 @@ def clean(text: Column, unicode: bool = True) -> Column:
     """
     value = F.coalesce(text, F.lit(""))
     value = _unicode(value) if unicode else value
-    for pattern, to in ((r"(?i)(?:https?://|www\.)[^\s]+", " "), (r"<[^>]+>", " "), ("[​-‏‪-‮⁠﻿]", ""), (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", ""), (SPACE, " ")):
+    for pattern, to in (*CLEANING, (SPACE, " ")):
         value = F.regexp_replace(value, pattern, to)
     return F.trim(value)
 
@@ -226,42 +243,63 @@ def after_close(at: Column, precision: Column, hour: int = 15) -> Column:
     return F.when(precision == "minute", F.hour(at) >= hour)
 
 
-#: The classes of time that masking replaces, and their marks.
-TIME_PATTERNS = ((r"(?<!\d)(?:19|20)\d{2}[-/.年]\d{1,2}[-/.月]\d{1,2}日?", "[DATE]"), (r"(?<!\d)(?:19|20)\d{2}年(?:\d{1,2}月)?", "[DATE]"), (r"(?<!\d)\d{1,2}:\d{2}(?::\d{2})?(?!\d)", "[TIME]"))
+#: The marks, the form of a legal company name, and the classes of time that masking replaces, in this order.
+SUBJECT_MASK = "某公司"
+TIME_MASK = "某时间"
+COMPANY_NAME = r"[\u4e00-\u9fffA-Za-z0-9（）()·]{2,50}(?:股份有限公司|有限责任公司|有限公司)"
+TIME_PATTERNS = (
+    r"[〇○零一二三四五六七八九十百]{4}\s*年\s*(?:[〇○零一二三四五六七八九十百]{1,3}\s*月(?:\s*[〇○零一二三四五六七八九十百]{1,3}\s*日?)?)?",
+    r"(?<!\d)(?:19|20)\d{2}\s*[年./-]\s*\d{1,2}\s*[月./-]\s*\d{1,2}\s*日?",
+    r"(?<!\d)(?:19|20)\d{2}\s*年\s*\d{1,2}\s*月",
+    r"(?<!\d)(?:19|20)\d{2}\s*(?:年|年度|财年)",
+    r"(?<!\d)\d{1,2}\s*月\s*\d{1,2}\s*日",
+    r"(?<!\d)\d{1,2}\s*[时:]\s*\d{2}\s*分?",
+    r"第[一二三四1-4]季度|上半年|下半年|年初|年末|年底",
+)
+
 
+def mask(text: str, name: str | None = None, code: str | None = None, most: int = 1000) -> str:
+    """A subject's name and code, legal company names and times replaced until nothing changes.
 
-def mask(text: str, names: Iterable[str], most: int = 1000) -> str:
-    """Names, codes and times replaced until nothing changes; raises if that takes more than ``most`` rounds."""
-    words_ = sorted({n for n in names if n}, key=lambda n: (-len(n), n))
-    name = re.compile("|".join(map(re.escape, words_))) if words_ else None
+    A replacement may uncover the next match; raises if that takes more than ``most`` rounds.  Names count from two
+    characters on, as written and without their white space.
+    """
+    steps = [(re.escape(n), SUBJECT_MASK) for n in sorted({name or "", re.sub(r"\s+", "", name or "")}, key=lambda n: (-len(n), n)) if len(n) > 1]
+    steps += [(rf"(?<!\d){re.escape(code)}(?!\d)", SUBJECT_MASK)] if code else []
+    rules = [(re.compile(p), to) for p, to in (*steps, (COMPANY_NAME, SUBJECT_MASK), *((p, TIME_MASK) for p in TIME_PATTERNS))]
     for _ in range(most):
         before = text
-        if name:
-            text = name.sub("[NAME]", text)
-        for pattern, mark in TIME_PATTERNS:
-            text = re.sub(pattern, mark, text)
-        text = re.sub(r"(?<!\d)\d{6}(?!\d)", "[CODE]", text)
+        for pattern, to in rules:
+            text = pattern.sub(to, text)
         if text == before:
             return text
     raise ValueError("masking did not settle")
 
 
 @F.pandas_udf(StringType())
-def masked(text: pd.Series, names: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else mask(t, () if n is None else n) for t, n in zip(text, names, strict=True)])
+def masked(text: pd.Series, name: pd.Series, code: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else mask(t, n, c) for t, n, c in zip(text, name, code, strict=True)])
 
 
-def leaks(fields: Iterable[Column]) -> dict[str, Column]:
-    """For each class whether a field shows it; fields are looked at one by one, so joining them makes no false date."""
-    fields = list(fields)
-    classes = {"date": TIME_PATTERNS[0][0], "time": TIME_PATTERNS[2][0], "code": r"(?<!\d)\d{6}(?!\d)", "email": r"[\w.]+@[\w.]+\w"}
-    out = {}
-    for name, pattern in classes.items():
-        hit = F.lit(False)
-        for f in fields:
-            hit = hit | F.coalesce(f.rlike(pattern), F.lit(False))
-        out[name] = hit
-    return out
+def leaks(name: Column, code: Column, fields: Mapping[str, tuple[Column, Column]]) -> dict[str, Column]:
+    """For each class of identity and time whether a masked field still shows it, and whether each field was masked.
+
+    ``fields``: name of a field to its (original, masked) columns.  Fields are looked at one by one, so joining them
+    makes no false date.  All classes are built-in expressions.
+    """
+    hidden = [F.coalesce(m, F.lit("")) for _, m in fields.values()]
+    bare = F.regexp_replace(F.coalesce(name, F.lit("")), SPACE, "")
+    anywhere = lambda test: reduce(lambda a, b: a | b, [test(m) for m in hidden])
+    wide = lambda p: F.lit(f"(?U){p}")
+    named = (F.char_length(bare) >= 2) & (bare != SUBJECT_MASK)
+    coded = F.concat(F.lit(r"(?U)(?<!\d)\Q"), code, F.lit(r"\E(?!\d)"))
+    out = {
+        "stock_name_remaining": named & anywhere(lambda m: F.contains(F.regexp_replace(m, SPACE, ""), bare)),
+        "stock_code_remaining": F.coalesce((code != "") & anywhere(lambda m: F.regexp_like(m, coded)), F.lit(False)),
+        "legal_company_name_remaining": anywhere(lambda m: F.regexp_like(m, wide(COMPANY_NAME))),
+        "calendar_date_remaining": anywhere(lambda m: F.regexp_like(m, wide("|".join(f"(?:{p})" for p in TIME_PATTERNS)))),
+    }
+    return out | {f"{k}_was_masked": F.coalesce(m, F.lit("")) != F.coalesce(o, F.lit("")) for k, (o, m) in fields.items()}
 
 
 class _Page(HTMLParser):
@@ -341,7 +379,7 @@ def url_id(url: Column, size: int = 24) -> Column:
 
 def contains_code(text: Column, code: Column) -> Column:
     """The digits of ``code`` stand in the text with no digit on either side."""
-    return text.rlike(F.concat(F.lit(r"(?<!\d)"), code, F.lit(r"(?!\d)")))
+    return F.regexp_like(text, F.concat(F.lit(r"(?<!\d)\Q"), code, F.lit(r"\E(?!\d)")))
 
 
 def codes_in(text: Column, digits: int = 6) -> Column:

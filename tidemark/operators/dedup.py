@@ -31,56 +31,74 @@ def tiered(df: DataFrame, order: str) -> DataFrame:
     """``duplicate``: by url; without one by article id; without both by text.
 
     A key counts over all rows: a row without url whose article id an earlier row with url had is a duplicate.
+    ``order`` is unique.  The first row of each key is a grouped minimum over (key, order) alone, so blank keys meet
+    nowhere and no text is sorted.
     """
-    seen = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(order)) > 1
-    no_url, no_id = F.col("url_key") == "", F.col("article_key") == ""
-    return df.withColumn("duplicate", (~no_url & seen("url_key")) | (no_url & ~no_id & seen("article_key")) | (no_url & no_id & seen("text_key")))
+    tiers = [F.struct(F.lit(i).alias("tier"), F.col(c).alias("key")) for i, c in enumerate(("url_key", "article_key", "text_key"))]
+    used = F.filter(F.array(*tiers), lambda x: x["key"] != "")
+    rows = df.select(F.col(order).alias("__o"), used.alias("__used"))
+    each = rows.select("__o", F.posexplode("__used").alias("__at", "__k")).select("__o", "__at", "__k.tier", "__k.key")
+    first = each.groupBy("tier", "key").agg(F.min("__o").alias("__first"))
+    late = each.where("__at = 0").join(first, ["tier", "key"]).where("__first < __o").select(F.col("__o").alias(order), F.lit(True).alias("duplicate"))
+    return df.join(late, order, "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
 
 
-def greedy(df: DataFrame, keys: Sequence[Sequence[str]], order: str, component: DataFrame | None = None) -> DataFrame:
+def greedy(df: DataFrame, keys: Sequence[Sequence[str]], order: str, rounds: int = 8) -> DataFrame:
     """Rows kept by one pass in order that drops a row if any of its keys was kept before; NULL keys never match.
 
-    Rows that share no key do not meet: the pass runs on each group of rows linked by keys.  ``component`` (order,
-    root) gives these groups; without it they are found by relaxing the least order over the keys.
+    ``order`` is unique.  A round keeps every open row that comes first on all of its keys, and drops those that share a key
+    with one: grouped minima only, so a key that a third of the rows have is settled in one round.  What is still
+    open after ``rounds`` lies in long chains of keys; these are passed through in order, each chain on its own.
     """
-    cells = {f"__k{i}": F.when(~F.exists(F.array(*[F.col(c).isNull() for c in key]), lambda x: x), F.sha2(F.to_json(F.struct(*key)), 256)) for i, key in enumerate(keys)}
-    rows = df.withColumns(cells)
-    names = list(cells)
-    groups = component if component is not None else linked(rows.select(order, *names), order, names)
-    rows = rows.join(groups, order)
+    cells = [F.when(~F.exists(F.array(*[F.col(c).isNull() for c in key]), lambda x: x), F.concat(F.lit(f"{i}:"), F.sha2(F.to_json(F.struct(*key)), 256))) for i, key in enumerate(keys)]
+    links = df.select(F.col(order).alias("__o"), F.explode_outer(F.array_compact(F.array(*cells))).alias("__key"))
+    kept = links.where(F.col("__key").isNull()).select("__o")
+    open_ = settle(links.where(F.col("__key").isNotNull()))
+    for _ in range(rounds):
+        if not open_.head(1):
+            break
+        first = open_.groupBy("__key").agg(F.min("__o").alias("__m"))
+        ahead = settle(open_.join(first, "__key").groupBy("__o").agg(F.min("__m").alias("__m")).where("__o = __m").select("__o"))
+        kept = kept.unionByName(ahead)
+        taken = open_.join(ahead, "__o").select("__key").distinct()
+        gone = open_.join(taken, "__key").select("__o").distinct()
+        open_ = settle(open_.join(gone, "__o", "left_anti"))
+    else:
+        if open_.head(1):
+            kept = kept.unionByName(chains(open_, dict(df.dtypes)[order]))
+    return df.join(kept.select(F.col("__o").alias(order)), order, "left_semi")
+
+
+def chains(links: DataFrame, order_type: str) -> DataFrame:
+    """The kept ``__o`` of links (__o, __key), passing through each set of linked rows in order."""
 
     def one_pass(group: pd.DataFrame) -> pd.DataFrame:
-        kept: set[tuple[str, str]] = set()
+        kept: set[str] = set()
         out = []
-        for r in group.sort_values(order).to_dict("records"):
-            own = {(n, r[n]) for n in names if r[n]}
-            fresh = not own & kept
-            if fresh:
-                kept |= own
-            out.append((r[order], fresh))
-        return pd.DataFrame(out, columns=[order, "kept"])
+        for at, own in group.sort_values("__o").groupby("__o", sort=True)["__key"]:
+            if kept.isdisjoint(own):
+                kept.update(own)
+                out.append(at)
+        return pd.DataFrame({"__o": out})
 
-    marks = rows.select(order, "root", *names).groupBy("root").applyInPandas(one_pass, f"{order} {dict(df.dtypes)[order]}, kept boolean")
-    return df.join(marks, order).where("kept").drop("kept")
+    return links.join(linked(links), "__o").groupBy("root").applyInPandas(one_pass, f"__o {order_type}")
 
 
-def linked(rows: DataFrame, order: str, names: Sequence[str]) -> DataFrame:
-    """(order, root): the least order reachable over shared keys.
+def linked(links: DataFrame) -> DataFrame:
+    """(__o, root): the least __o reachable over shared keys of links (__o, __key).
 
     A round takes the least label over each key, then the label of that label's own row, so long chains settle in
     few rounds; rounds end only when no label changes.
     """
-    links = rows.select(order, F.explode(F.array_compact(F.array(*[F.concat(F.lit(f"{n}:"), F.col(n)) for n in names]))).alias("__key"))
-    state = rows.select(order, F.col(order).alias("root"))
-    links = settle(links)
+    state = links.select("__o", F.col("__o").alias("root")).distinct()
     before = None
     while True:
-        least = links.join(state, order).groupBy("__key").agg(F.min("root").alias("__m"))
-        better = links.join(least, "__key").groupBy(order).agg(F.min("__m").alias("__m"))
-        state = state.join(better, order, "left").select(order, F.least("root", F.coalesce("__m", "root")).alias("root")).transform(settle)
-        jump = state.groupBy(F.col(order).alias("root")).agg(F.min("root").alias("__m"))
-        state = state.join(jump, "root").select(order, F.col("__m").alias("root")).transform(settle)
-        now = state.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
+        least = links.join(state, "__o").groupBy("__key").agg(F.min("root").alias("__m"))
+        better = links.join(least, "__key").groupBy("__o").agg(F.min("__m").alias("__m"))
+        state = state.join(better, "__o", "left").select("__o", F.least("root", F.coalesce("__m", "root")).alias("root")).transform(settle)
+        jump = state.groupBy(F.col("__o").alias("root")).agg(F.min("root").alias("__m"))
+        state = state.join(jump, "root").select("__o", F.col("__m").alias("root")).transform(settle)
+        now = state.agg(F.sum(F.xxhash64("__o", "root").cast("decimal(38,0)"))).first()[0]
         if now == before:
             return state
         before = now
