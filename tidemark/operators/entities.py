@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import codes_in
+from tidemark.functions.text import codes_in, contains_code
 
 
 def aliases(name: Column, least: int = 4) -> Column:
@@ -53,6 +53,24 @@ def resolve(*found: DataFrame, key: str, code: str) -> DataFrame:
     return kinds.withColumn("level", F.when(F.size("evidence") > 1, "gold").otherwise("silver"))
 
 
+def ladder(docs: DataFrame, key: str, title: str, body: str, given: DataFrame, universe: DataFrame, code: str, name: str, least: int = 4) -> DataFrame:
+    """(key, code, name, evidence, confidence) of each listed entity that a cleaned text proves.
+
+    Candidates are the codes written in the text and those ``given`` (key, code) by the source; both must be in the
+    ``universe`` (code, name).  The first that holds counts: code in the title, in the body, or a name of ``least``
+    characters in the title (gold), a name in the body (silver).  A candidate without any is dropped.
+    """
+    bare = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)\s+", "")
+    texts = docs.select(key, bare(title).alias("__t"), bare(body).alias("__b"))
+    written = texts.select(key, F.explode(codes_in(F.concat_ws(" ", "__t", "__b"))).alias(code))
+    each = written.unionByName(given.select(key, code)).distinct().join(universe.select(code, name), code)
+    rows = each.join(texts, key).withColumn("__names", aliases(bare(name), least))
+    has = lambda c: F.exists("__names", lambda n: F.contains(F.col(c), n))
+    steps = (("code_in_title", contains_code(F.col("__t"), F.col(code)), "gold"), ("code_in_body", contains_code(F.col("__b"), F.col(code)), "gold"), ("unambiguous_name_in_title", has("__t"), "gold"), ("unambiguous_name_in_body", has("__b"), "silver"))
+    proof = F.coalesce(*[F.when(c, F.struct(F.lit(e).alias("evidence"), F.lit(g).alias("confidence"))) for e, c, g in steps])
+    return rows.withColumn("__p", proof).where(F.col("__p").isNotNull()).select(key, code, name, "__p.evidence", "__p.confidence")
+
+
 def relation(text: Column, name: Column, market: tuple[str, ...]) -> Column:
     """direct: names the entity; market: a market word; else unrelated."""
     words = F.lit(False)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import FMClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, FMClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -71,7 +71,16 @@ CLASSIFIERS: dict[str, Callable[..., object]] = {
     "logistic": lambda **k: LogisticRegression(**({"maxIter": 100} | k)),
     "l1_logistic": lambda **k: LogisticRegression(**({"maxIter": 100, "elasticNetParam": 1.0, "regParam": 0.01} | k)),
     "linear_svm": lambda **k: LinearSVC(**({"maxIter": 50} | k)),
+    "ridge_logistic": lambda **k: LogisticRegression(**({"maxIter": 100, "regParam": 0.1} | k)),
+    "elastic_logistic": lambda **k: LogisticRegression(**({"maxIter": 100, "elasticNetParam": 0.5, "regParam": 0.01} | k)),
     "naive_bayes": lambda **k: NaiveBayes(**({"modelType": "gaussian"} | k)),
+    # of counts: features of 0 and more (bernoulli: 0 and 1)
+    "multinomial_bayes": lambda **k: NaiveBayes(**({"modelType": "multinomial"} | k)),
+    "complement_bayes": lambda **k: NaiveBayes(**({"modelType": "complement"} | k)),
+    "bernoulli_bayes": lambda **k: NaiveBayes(**({"modelType": "bernoulli"} | k)),
+    "tree": lambda **k: DecisionTreeClassifier(**({"maxDepth": 5, "seed": 7} | k)),
+    # single trees that each see one feature in three of a split
+    "extra_forest": lambda **k: RandomForestClassifier(**({"numTrees": 100, "featureSubsetStrategy": "onethird", "bootstrap": False, "seed": 7} | k)),
     "forest": lambda **k: RandomForestClassifier(**({"numTrees": 50, "seed": 7} | k)),
     "boosting": lambda **k: GBTClassifier(**({"maxIter": 30, "seed": 7} | k)),
     "factorisation": lambda **k: FMClassifier(**({"maxIter": 50, "seed": 7} | k)),

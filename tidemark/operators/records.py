@@ -85,12 +85,53 @@ def clean_bars(df: DataFrame, names: Mapping[str, str] | None = None) -> DataFra
 
 
 def checked_prices(df: DataFrame) -> DataFrame:
-    """Prices that must be right: bad dates, prices not over 0 and repeated keys raise."""
+    """Prices that must be right, with dates and numbers: bad dates, prices not over 0 and repeated keys raise.
+
+    Keys are compared as they come out, so that a date in two spellings meets itself.
+    """
     require_columns(df, ["stock_id", "date", "close"])
-    bad = df.agg(F.count_if(F.col("date").try_cast("date").isNull()).alias("d"), F.count_if(~(F.coalesce(number("close"), F.lit(0.0)) > 0)).alias("c"), (F.count(F.lit(1)) - F.count_distinct("stock_id", "date")).alias("k")).first()
+    rows = df.withColumns({"date": F.col("date").try_cast("date"), "close": number("close")})
+    keys = rows.groupBy("stock_id", "date").agg(F.count(F.lit(1)).alias("n"), F.count_if(~(F.coalesce("close", F.lit(0.0)) > 0)).alias("c"))
+    bad = keys.agg(F.sum(F.when(F.col("date").isNull(), F.col("n")).otherwise(0)).alias("d"), F.sum("c").alias("c"), F.sum(F.col("n") - 1).alias("k")).first()
     if bad["d"] or bad["c"] or bad["k"]:
         raise ContractError(f"{bad['d']} bad dates, {bad['c']} bad prices, {bad['k']} repeated keys")
-    return df.withColumn("date", F.col("date").cast("date"))
+    return rows
+
+
+def validated(df: DataFrame, universe: DataFrame, period: str, code: str = "stock_id", prefix: str = "") -> DataFrame:
+    """Announcement records with ``reason`` (NULL: valid), six-digit code, time, ``document_id``, ``text_model`` and ``source_period``.
+
+    In this order: outside_stock_universe, non_announcement, non_direct_relation (where a relation is told),
+    invalid_publication_time, empty_text_model.  ``universe`` has the column ``code``; it is joined by hash.
+    """
+    have = set(df.columns)
+    pick = lambda *names: F.coalesce(*[F.col(n).cast("string") for n in names if n in have], F.lit(""))
+    known = universe.select(code6(code).alias(code)).distinct().withColumn("__in", F.lit(True))
+    rows = df.withColumns({code: code6(code), "text_model": pick("text_model", "text"), "__at": F.try_to_timestamp(pick("published_at", "announcement_date"))}).join(known, code, "left")
+    relation = [("non_direct_relation", F.col("stock_relation").isNotNull() & (F.col("stock_relation") != "direct"))] if "stock_relation" in have else []
+    reason = first_reason(
+        ("outside_stock_universe", F.col("__in").isNull()), ("non_announcement", F.coalesce(F.col("content_type"), F.lit("")) != "announcement"), *relation,
+        ("invalid_publication_time", F.col("__at").isNull()), ("empty_text_model", F.trim(F.regexp_replace("text_model", r"(?U)\s+", " ")) == ""),
+    )
+    own = document_id(F.col(code), pick("url"), pick("announcement_date"), pick("published_at"), pick("title_clean_final", "title"), pick("text_hash"))
+    return rows.withColumns({"reason": reason, "document_id": F.concat(F.lit(prefix), own), "published_at": F.col("__at"), "source_period": F.lit(period)}).drop("__in", "__at")
+
+
+def one_asset(df: DataFrame, code: str, value: str, *order: str) -> DataFrame:
+    """One asset's rows, numbered 1..n in panel order; without rows this raises."""
+    from tidemark.sources.sinks import numbered
+
+    rows = df.where(F.col(code) == value)
+    if not rows.head(1):
+        raise ContractError(f"no rows of {value}")
+    return numbered(rows, *order)
+
+
+def between(df: DataFrame, at: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Rows from the day ``first`` to the day ``last``, both inclusive; rows without a time go."""
+    rows = df.where(F.col(at).isNotNull())
+    rows = rows if first is None else rows.where(F.col(at) >= F.lit(first).cast("timestamp"))
+    return rows if last is None else rows.where(F.col(at) < F.date_add(F.lit(last).cast("date"), 1).cast("timestamp"))
 
 
 def document_id(*parts: Column, size: int = 32) -> Column:

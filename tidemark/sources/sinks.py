@@ -1,12 +1,16 @@
-"""Sinks: one reason column with two outputs, stable shards, manifests."""
+"""Sinks: one reason column with two outputs, small reports, stable shards, manifests."""
 
 from __future__ import annotations
 
+import csv
+import json
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.schema import ContractError
 from tidemark.staging import settle
 
 
@@ -33,6 +37,31 @@ def write_split(df: DataFrame, reason: Column, accepted: str, rejected: str) ->
     return {r["__reason"] or "accepted": r["n"] for r in back.groupBy("__reason").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
+def report(df: DataFrame, folder: str, name: str, formats: Sequence[str] = ("csv", "json", "md"), most: int = 10_000) -> list[str]:
+    """A small result as CSV, JSON lines and a Markdown table on the driver's disk; more than ``most`` rows raise."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ContractError(f"a report holds at most {most} rows")
+    cell = lambda v: "" if v is None else str(v)
+    out = []
+    for kind in formats:
+        path = Path(folder, f"{name}.{kind}")
+        path.parent.mkdir(parents=True, exist_ok=True)
+        with path.open("w", encoding="utf-8", newline="") as f:
+            if kind == "csv":
+                writer = csv.writer(f)
+                writer.writerows([df.columns, *[[cell(v) for v in r] for r in rows]])
+            elif kind == "json":
+                f.writelines(json.dumps(r.asDict(recursive=True), ensure_ascii=False, default=str) + "\n" for r in rows)
+            elif kind == "md":
+                line = lambda values: "| " + " | ".join(cell(v).replace("|", "\\|").replace("\n", " ") for v in values) + " |\n"
+                f.writelines([line(df.columns), line(["---"] * len(df.columns)), *[line(r) for r in rows]])
+            else:
+                raise ContractError(f"no report format named {kind}")
+        out.append(str(path))
+    return out
+
+
 def numbered(df: DataFrame, *order: str, first: int = 1, name: str = "row_index") -> DataFrame:
     """Contiguous numbers in a total order, made in two steps: counts of sorted ranges, then numbers inside each.
 

@@ -72,10 +72,21 @@ def class_moments(rows: DataFrame, label: str, vector: str) -> DataFrame:
     return long.groupBy(label, "pos").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
 
 
-def novelty(rows: DataFrame, by: str = "asset", back: int = 5) -> DataFrame:
-    """(row, max_prior, prior_row): the state of a key is the rows of its last ``back`` sessions, in order of arrival."""
+def _timeout(idle: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+
+
+def novelty(rows: DataFrame, by: str = "asset", back: int = 5, idle: int | None = None) -> DataFrame:
+    """(row, max_prior, prior_row): the state of a key is the rows of its last ``back`` sessions, in order of arrival.
+
+    A key without rows for ``idle`` milliseconds loses its state; set it above the time that ``back`` sessions take, and
+    nothing that could be compared is lost.  None keeps all keys.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         ranks, ids, vecs = state.get if state.exists else ([], [], [])
         out = []
         for r in pd.concat(list(batches)).sort_values(["rank", "row"]).itertuples(index=False):
@@ -93,19 +104,25 @@ def novelty(rows: DataFrame, by: str = "asset", back: int = 5) -> DataFrame:
             ids.append(int(r.row))
             vecs.append(v.tolist())
         state.update((ranks, ids, vecs))
+        if idle:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame(out, columns=["row", "max_prior", "prior_row"]).astype({"prior_row": "Int64"})
 
     fields = "row bigint, max_prior double, prior_row bigint"
-    return rows.groupBy(by).applyInPandasWithState(step, fields, "ranks array<int>, ids array<bigint>, vecs array<array<double>>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(by).applyInPandasWithState(step, fields, "ranks array<int>, ids array<bigint>, vecs array<array<double>>", "append", _timeout(idle))
 
 
-def holdings(weights: DataFrame, gamma: float, asset: str = "asset") -> DataFrame:
+def holdings(weights: DataFrame, gamma: float, asset: str = "asset", idle: int | None = None) -> DataFrame:
     """(asset, date, target): exponentially weighted targets carried from batch to batch.
 
-    ``weights`` has a row for each asset and signal date (0 where it has no signal), dates in order of arrival.
+    ``weights`` has a row for each asset and signal date (0 where it has no signal), dates in order of arrival.  An asset
+    without rows for ``idle`` milliseconds is taken as gone: it would start anew.  None keeps all assets.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         target, seen = state.get if state.exists else (0.0, False)
         out = []
         for r in pd.concat(list(batches)).sort_values("date").itertuples(index=False):
@@ -113,10 +130,12 @@ def holdings(weights: DataFrame, gamma: float, asset: str = "asset") -> DataFram
             seen = True
             out.append((key[0], r.date, target))
         state.update((target, seen))
+        if idle:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame(out, columns=[asset, "date", "target"])
 
     kind = dict(weights.dtypes)[asset]
-    return weights.groupBy(asset).applyInPandasWithState(step, f"{asset} {kind}, date date, target double", "target double, seen boolean", "append", GroupStateTimeout.NoTimeout)
+    return weights.groupBy(asset).applyInPandasWithState(step, f"{asset} {kind}, date date, target double", "target double, seen boolean", "append", _timeout(idle))
 
 
 def append_numbered(stream: DataFrame, path: str, marks: str, *order: str, key: str = "row_index"):
