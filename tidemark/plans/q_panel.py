@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import calendar as cal
-from tidemark.operators import joins, windows, xsection
+from tidemark.operators import joins, records, windows, xsection
 from tidemark.plans.base import CALENDAR, PANEL, SIGNALS, SPARSE, panel, query, r6, signals, table
 from tidemark.schema import code6, flag, safe_div
 
@@ -70,9 +70,11 @@ def p_len_band(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(F.char_length("text").between(50, 5000)).select("doc_id", F.char_length("text").cast("long").alias("chars"))
 
 
-@query("p_clean_prices", "WITH " + PANEL + " SELECT asset, date, close FROM panel WHERE close > 1")
+@query("p_clean_prices", "WITH " + PANEL + " SELECT asset::VARCHAR AS stock_id, date, close FROM panel WHERE close > 0")
 def p_clean_prices(spark: SparkSession, d: str) -> DataFrame:
-    return panel(spark, d).where("close > 1").select("asset", "date", "close")
+    """The checked prices of the days with one; tests show that bad rows raise."""
+    rows = panel(spark, d).where("close > 0").select(F.col("asset").cast("string").alias("stock_id"), F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("close").cast("string").alias("close"))
+    return records.checked_prices(rows).select("stock_id", "date", "close")
 
 
 @query("p_label_sanitise", "SELECT event_id, CASE WHEN user_id % 10 = 0 THEN NULL ELSE round(ln(1 + greatest(value - 5, 0)), 6) + 0 END AS shock, CASE WHEN user_id % 10 = 0 THEN 0 ELSE 1 END AS valid FROM events")
@@ -224,17 +226,17 @@ def j_nearest_prior_order(spark: SparkSession, d: str) -> DataFrame:
 # ---- windows -----------------------------------------------------------------------------------------------
 
 
-@query("w_fwd_return_h", f"WITH {PANEL} SELECT asset, date, round(lead(close, 1) OVER w / close - 1, 6) + 0 AS r1, round(lead(close, 5) OVER w / close - 1, 6) + 0 AS r5, round(lead(close, 20) OVER w / close - 1, 6) + 0 AS r20 FROM panel WINDOW w AS (PARTITION BY asset ORDER BY date)")
+@query("w_fwd_return_h", f"WITH {PANEL} SELECT asset, date, round(lead(close, 1) OVER w / nullif(close, 0) - 1, 6) + 0 AS r1, round(lead(close, 5) OVER w / nullif(close, 0) - 1, 6) + 0 AS r5, round(lead(close, 20) OVER w / nullif(close, 0) - 1, 6) + 0 AS r20 FROM panel WINDOW w AS (PARTITION BY asset ORDER BY date)")
 def w_fwd_return_h(spark: SparkSession, d: str) -> DataFrame:
     return panel(spark, d).select("asset", "date", *[r6(windows.forward_return("close", "asset", "date", h)).alias(f"r{h}") for h in (1, 5, 20)])
 
 
-@query("w_event3", f"WITH {PANEL} SELECT asset, date, round(lead(close, 1) OVER w / lag(close, 2) OVER w - 1, 6) + 0 AS r FROM panel WINDOW w AS (PARTITION BY asset ORDER BY date)")
+@query("w_event3", f"WITH {PANEL} SELECT asset, date, round(lead(close, 1) OVER w / nullif(lag(close, 2) OVER w, 0) - 1, 6) + 0 AS r FROM panel WINDOW w AS (PARTITION BY asset ORDER BY date)")
 def w_event3(spark: SparkSession, d: str) -> DataFrame:
     return panel(spark, d).select("asset", "date", r6(windows.event_return("close", "asset", "date")).alias("r"))
 
 
-@query("w_calendar_return", f"WITH {PANEL}, {CALENDAR} SELECT p.asset, p.date, round(q.close / p.close - 1, 6) + 0 AS r FROM panel p JOIN cal c USING (date) LEFT JOIN cal e ON e.rank = c.rank + 5 LEFT JOIN panel q ON q.asset = p.asset AND q.date = e.date")
+@query("w_calendar_return", f"WITH {PANEL}, {CALENDAR} SELECT p.asset, p.date, round(q.close / nullif(p.close, 0) - 1, 6) + 0 AS r FROM panel p JOIN cal c USING (date) LEFT JOIN cal e ON e.rank = c.rank + 5 LEFT JOIN panel q ON q.asset = p.asset AND q.date = e.date")
 def w_calendar_return(spark: SparkSession, d: str) -> DataFrame:
     """Both ends must exist on the global calendar: an asset's gap gives NULL."""
     rows = panel(spark, d).select("asset", "date", "close")
@@ -243,12 +245,12 @@ def w_calendar_return(spark: SparkSession, d: str) -> DataFrame:
     return there.join(ends, ["asset", "end"], "left").select("asset", "date", r6(safe_div(F.col("later"), F.col("close")) - 1).alias("r"))
 
 
-_RET = PANEL + ", ret AS (SELECT asset, date, close / lag(close) OVER (PARTITION BY asset ORDER BY date) - 1 AS r, amount FROM panel)"
+_RET = PANEL + ", ret AS (SELECT asset, date, close / nullif(lag(close) OVER (PARTITION BY asset ORDER BY date), 0) - 1 AS r, amount FROM panel)"
 
 
 def _returns(spark: SparkSession, d: str) -> DataFrame:
     rows = panel(spark, d)
-    return rows.select("asset", "date", (F.col("close") / F.lag("close").over(windows.ordered("asset", "date")) - 1).alias("r"), "amount")
+    return rows.select("asset", "date", (safe_div(F.col("close"), F.lag("close").over(windows.ordered("asset", "date"))) - 1).alias("r"), "amount")
 
 
 @query("w_fwd_product", f"WITH {_RET} SELECT asset, date, CASE WHEN count(r) OVER w = 3 THEN round(product(1 + r) OVER w - 1, 6) + 0 END AS r3 FROM ret WINDOW w AS (PARTITION BY asset ORDER BY date ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)")
@@ -300,10 +302,10 @@ _EXEC = f"""{_DENSE}, marked AS (SELECT *, date <= max(CASE WHEN observed THEN d
  (sum(observed::INT) OVER w - 1)::BIGINT AS age, last_value(open IGNORE NULLS) OVER w AS fo, last_value(close IGNORE NULLS) OVER w AS fc, coalesce(lead(observed) OVER (PARTITION BY asset ORDER BY date), false) AS next_observed,
  lead(open) OVER (PARTITION BY asset ORDER BY date) AS next_open FROM dense WINDOW w AS (PARTITION BY asset ORDER BY date ROWS UNBOUNDED PRECEDING)),
  m2 AS (SELECT *, CASE WHEN listed THEN fo END AS mo, CASE WHEN listed THEN fc END AS mc FROM marked),
- m3 AS (SELECT *, mo / lag(mc) OVER (PARTITION BY asset ORDER BY date) - 1 AS gap FROM m2)"""
+ m3 AS (SELECT *, mo / nullif(lag(mc) OVER (PARTITION BY asset ORDER BY date), 0) - 1 AS gap FROM m2)"""
 
 
-@query("w_execution_panel", f"WITH {_EXEC} SELECT asset, date, observed, next_observed, age AS listing_day, age < 5 AND listed AND age >= 0 AS ipo_window, round(gap, 6) + 0 AS gap, coalesce(observed AND age >= 5 AND gap < 0.1::DOUBLE - 0.002::DOUBLE, false) AS can_buy, coalesce(observed AND age >= 5 AND gap > -0.1::DOUBLE + 0.002::DOUBLE, false) AS can_sell, observed AND age >= 5 AS eligible, CASE WHEN observed AND next_observed THEN round(next_open / open - 1, 6) + 0 END AS tradable_o2o, round(lead(mo) OVER w / mo - 1, 6) + 0 AS o2o, round(lead(mc) OVER w / mc - 1, 6) + 0 AS c2c, round(mc / mo - 1, 6) + 0 AS o2c FROM m3 WINDOW w AS (PARTITION BY asset ORDER BY date)")
+@query("w_execution_panel", f"WITH {_EXEC} SELECT asset, date, observed, next_observed, age AS listing_day, age < 5 AND listed AND age >= 0 AS ipo_window, round(gap, 6) + 0 AS gap, coalesce(observed AND age >= 5 AND gap < 0.1::DOUBLE - 0.002::DOUBLE, false) AS can_buy, coalesce(observed AND age >= 5 AND gap > -0.1::DOUBLE + 0.002::DOUBLE, false) AS can_sell, observed AND age >= 5 AS eligible, CASE WHEN observed AND next_observed THEN round(next_open / nullif(open, 0) - 1, 6) + 0 END AS tradable_o2o, round(lead(mo) OVER w / nullif(mo, 0) - 1, 6) + 0 AS o2o, round(lead(mc) OVER w / nullif(mc, 0) - 1, 6) + 0 AS c2c, round(mc / nullif(mo, 0) - 1, 6) + 0 AS o2c FROM m3 WINDOW w AS (PARTITION BY asset ORDER BY date)")
 def w_execution_panel(spark: SparkSession, d: str) -> DataFrame:
     from tidemark.operators.execution import execution_panel
 

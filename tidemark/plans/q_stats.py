@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import metrics, portfolio, stats, xsection
 from tidemark.operators.calendar import trading_calendar
 from tidemark.plans.base import CALENDAR, PANEL, SIGNALS, panel, query, r6, signals, table
+from tidemark.staging import settle
 
 # ---- aggregations --------------------------------------------------------------------------------------------
 
@@ -204,11 +205,20 @@ def k_holm_bh(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k_mcs")
 def k_mcs(spark: SparkSession, d: str) -> DataFrame:
-    wide = _model_losses(spark, d).groupBy("date").pivot("model", ["a", "b", "c"]).agg(F.max("loss")).dropna().orderBy("date").toPandas()
-    rows = [s | {"method": m} for m in ("range", "max", "best") for s in stats.confidence_set(wide[["a", "b", "c"]].to_numpy(), ["a", "b", "c"], reps=500, method=m)]
+    losses = settle(_model_losses(spark, d))
+    rows = [s | {"method": m} for m in ("range", "max", "best") for s in stats.confidence_set(losses, "date", "model", "loss", reps=500, method=m)]
     return spark.createDataFrame(pd.DataFrame(rows))
 
 
+@query("k_ic_difference")
+def k_ic_difference(spark: SparkSession, d: str) -> DataFrame:
+    """Daily rank correlations of two signals, paired by day: their mean difference with a moving-block interval."""
+    s = signals(spark, d)
+    both = s.select("date", "actual", F.explode(F.create_map(F.lit("a"), F.col("pred"), F.lit("b"), F.pmod(F.col("asset") * 7919, F.lit(101)).cast("double"))).alias("model", "x"))
+    daily = xsection.daily_ic(both, "date", "actual", "x", by=["model"])
+    return spark.createDataFrame([stats.paired_difference(daily, "date", "model", "ic", "a", "b")], "delta double, low double, high double")
+
+
 @query("k_bootstrap_ic")
 def k_bootstrap_ic(spark: SparkSession, d: str) -> DataFrame:
     ic = xsection.daily_ic(signals(spark, d), "date", "actual", "pred").orderBy("date").toPandas()["ic"].to_numpy()

@@ -58,10 +58,22 @@ def x_contractions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.concat(F.regexp_replace(full, " is$", ""), F.lit("'s")).alias("partly"))
 
 
-@query("x_tokens", r"SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?|[一-鿿]+'))::INT AS n_tokens, array_to_string(list_slice(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?|[一-鿿]+'), 1, 5), ' ') AS head FROM documents WHERE NOT contains(text, chr(39)) AND NOT contains(text, '<')")
+def _expanded(text: str) -> str:
+    """The SQL that expands contractions in markup-free, lower-case text."""
+    sql = f"regexp_replace(coalesce({text}, ''), '<[^>]+>', ' ', 'g')"
+    for old, new in tx.CONTRACTIONS:
+        sql = f"regexp_replace({sql}, '{old.replace(chr(39), chr(39) * 2)}', '{new}', 'gi')"
+    return f"lower({sql})"
+
+
+_APOSTROPHES = "coalesce(text, '') || ' It''s <b>what</b> they''re saying: he can''t, o''clock'"
+
+
+@query("x_tokens", rf"WITH w AS (SELECT doc_id, regexp_extract_all({_expanded(_APOSTROPHES)}, '[a-z]+(?:''[a-z]+)?|[一-鿿]+') AS w FROM documents) SELECT doc_id, len(w)::INT AS n_tokens, sha256(array_to_string(w, ' ')) AS tokens FROM w")
 def x_tokens(spark: SparkSession, d: str) -> DataFrame:
-    rows = docs(spark, d).where(~F.contains("text", F.lit("'")) & ~F.contains("text", F.lit("<"))).select("doc_id", tx.words(F.col("text")).alias("w"))
-    return rows.select("doc_id", F.size("w").alias("n_tokens"), F.array_join(F.slice("w", 1, 5), " ").alias("head"))
+    more = F.concat(F.coalesce("text", F.lit("")), F.lit(" It's <b>what</b> they're saying: he can't, o'clock"))
+    rows = docs(spark, d).select("doc_id", tx.words(more).alias("w"))
+    return rows.select("doc_id", F.size("w").alias("n_tokens"), F.sha2(F.array_join("w", " "), 256).alias("tokens"))
 
 
 @query("x_token_lexicon", r"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents) SELECT doc_id, len(list_filter(w, lambda x: x IN ('the', 'and')))::INT AS positive_count, len(list_filter(w, lambda x: x IN ('of', 'the')))::INT AS negative_count FROM w")
@@ -128,23 +140,37 @@ def x_parse_time(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", tx.resolve_time(raw).cast("timestamp_ntz").alias("at"), tx.date_precision(raw).alias("precision"))
 
 
+#: What is put behind each eighth document's text: nothing, or one class of identity or time.
+_SIGNS = ("", " 于2024年1月2日", " 二〇二四年三月", " 第三季度", " 上海东方股份有限公司", " (600519)", " 贵州 茅台", " 2023财年 12:30")
+
+
+def _signed(spark: SparkSession, d: str) -> DataFrame:
+    sign = F.element_at(F.array(*[F.lit(x) for x in _SIGNS]), (F.pmod("doc_id", F.lit(8)) + 1).cast("int"))
+    return docs(spark, d).select("doc_id", "title", F.concat(F.coalesce("text", F.lit("")), sign).alias("body"), F.lit("贵州茅台").alias("name"), F.lit("600519").alias("code"))
+
+
 @query("x_mask_fixpoint")
 def x_mask_fixpoint(spark: SparkSession, d: str) -> DataFrame:
-    """Look-behinds and repetition to a fixed point; tests hold the masks against a plain loop."""
-    names = F.array(F.lit("the"), F.lit("moron"))
-    return docs(spark, d).select("doc_id", F.sha2(tx.masked("text", names), 256).alias("masked"))
+    """Repetition to a fixed point has no SQL form; tests hold the masks against literal cases of each class."""
+    return _signed(spark, d).select("doc_id", F.sha2(tx.masked("body", "name", "code"), 256).alias("masked"))
+
+
+_SIGNED = "s AS (SELECT doc_id, coalesce(text, '') || [" + ", ".join(f"'{x}'" for x in _SIGNS) + "][(((doc_id % 8) + 8) % 8 + 1)::INT] AS body FROM documents)"
+_TIME_SQL = "|".join(f"(?:{p})" for p in tx.TIME_PATTERNS).replace(r"(?<!\d)", r"(?:^|[^\d])")
 
 
-@query("x_leaks", r"SELECT doc_id, regexp_matches(text, '[A-Za-z0-9_.]+@[A-Za-z0-9_.]+[A-Za-z0-9_]') AS email FROM documents")
+@query("x_leaks", rf"WITH {_SIGNED} SELECT doc_id, contains(regexp_replace(body, '\s+', '', 'g'), '贵州茅台') AS stock_name_remaining, regexp_matches(body, '(?:^|[^\d])600519(?:$|[^\d])') AS stock_code_remaining, regexp_matches(body, '{tx.COMPANY_NAME.replace(chr(92) + 'u4e00', '一').replace(chr(92) + 'u9fff', '鿿')}') AS legal_company_name_remaining, regexp_matches(body, '{_TIME_SQL}') AS calendar_date_remaining, false AS title_was_masked, doc_id % 8 <> 0 AS body_was_masked FROM s")
 def x_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", tx.leaks([F.col("text")])["email"].alias("email"))
+    rows = _signed(spark, d).join(docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("plain")), "doc_id")
+    cells = tx.leaks(F.col("name"), F.col("code"), {"title": (F.col("title"), F.col("title")), "body": (F.col("plain"), F.col("body"))})
+    return rows.select("doc_id", *[c.alias(k) for k, c in cells.items()])
 
 
-@query("x_memory", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN (s_suppkey + 1) / 1024 WHEN 1 THEN (s_suppkey + 1)::DOUBLE ELSE round((s_suppkey + 1) / 1048576, 9) END AS gib FROM supplier")
+@query("x_memory", "SELECT s_suppkey, round(CASE s_suppkey % 3 WHEN 0 THEN (s_suppkey + 1) / 1024 WHEN 1 THEN (s_suppkey + 1)::DOUBLE ELSE (s_suppkey + 1) / 1048576 END, 9) AS gib FROM supplier")
 def x_memory(spark: SparkSession, d: str) -> DataFrame:
     n = (F.col("s_suppkey") + 1).cast("string")
     raw = F.when(F.col("s_suppkey") % 3 == 0, F.concat(n, F.lit("M"))).when(F.col("s_suppkey") % 3 == 1, F.concat(n, F.lit("g"))).otherwise(n)
-    return table(spark, d, "supplier").select("s_suppkey", F.round(tx.memory_gib(raw), 9).alias("gib")).withColumn("gib", F.when(F.col("s_suppkey") % 3 == 0, (F.col("s_suppkey") + 1) / 1024).otherwise(F.col("gib")))
+    return table(spark, d, "supplier").select("s_suppkey", F.round(tx.memory_gib(raw), 9).alias("gib"))
 
 
 _WORDS = r"w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents)"
@@ -177,8 +203,9 @@ def x_contamination(spark: SparkSession, d: str) -> DataFrame:
     long = F.coalesce(F.size(cut("head")), F.lit(0)) >= 6
     # the second to fifth words of a passage of six or more are whole words in any text that holds it
     probe = b.where(long).select("item_id", "head", F.xxhash64(F.array_join(F.slice(cut("head"), 2, 4), " ")).alias("k"))
-    text = docs(spark, d).select("doc_id", "text", cut("text").alias("w")).select("doc_id", "text", F.explode(F.array_distinct(runs(F.col("w")))).alias("k"))
-    found = text.join(F.broadcast(probe) if probe.limit(10_001).count() <= 10_000 else probe, "k").where(F.contains("text", F.col("head"))).select("item_id", "doc_id")
+    # runs go to the join without their texts, so what moves grows with a text's length and not with its square
+    met = docs(spark, d).select("doc_id", F.explode(F.array_distinct(runs(cut("text")))).alias("k")).join(F.broadcast(probe) if probe.limit(10_001).count() <= 10_000 else probe, "k")
+    found = met.select("doc_id", "item_id", "head").join(docs(spark, d).select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("head"))).select("item_id", "doc_id")
     short = b.where(~long & F.col("head").isNotNull())
     if n := short.limit(10_001).count():
         found = found.unionByName(docs(spark, d).join(F.broadcast(short) if n <= 10_000 else short, F.contains("text", F.col("head"))).select("item_id", "doc_id"))
@@ -290,19 +317,19 @@ def v_knn_vote(spark: SparkSession, d: str) -> DataFrame:
     return learning.neighbour_vote(found, table(spark, d, "embeddings"), "vec_id", "label").select("query", "label", r6("share").alias("share"))
 
 
-@query("v_pooling", "WITH p AS (SELECT label, round(avg(list_sum(embedding[1:8]::DOUBLE[])), 5) + 0 AS total FROM embeddings GROUP BY label) SELECT label, total FROM p")
+@query("v_pooling", "WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), p AS (SELECT vec_id, pos % 8 AS dim, avg(x) AS mean, max(x) AS top FROM x GROUP BY ALL) SELECT vec_id, round(sum((dim + 1) * mean), 5) + 0 AS mean_pooled, round(sum((dim + 1) * top), 5) + 0 AS max_pooled FROM p GROUP BY vec_id")
 def v_pooling(spark: SparkSession, d: str) -> DataFrame:
-    """Mean pooling of eight tokens of eight dimensions cut from each vector: the pooled first dimensions add up."""
-    v = table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
-    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(F.col("v"), i + 1, F.lit(1)))
-    pooled = vx.mean_pool(tokens, size=1)
-    return v.select("label", (pooled[0] * 8).alias("x")).groupBy("label").agg(F.round(F.avg("x"), 5).alias("total"))
+    """Mean and largest of eight tokens of eight dimensions cut from each vector; dimensions weigh differently."""
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(F.col("v"), i * 8 + 1, F.lit(8)))
+    total = lambda pooled: F.round(F.aggregate(F.zip_with(pooled, F.array(*[F.lit(float(k)) for k in range(1, 9)]), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x), 5)
+    return v.select("vec_id", total(vx.mean_pool(tokens, size=8)).alias("mean_pooled"), total(vx.max_pool(tokens)).alias("max_pooled"))
 
 
-@query("v_three_point", "WITH e AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS low, embedding[17:32]::DOUBLE[] AS mid, embedding[33:48]::DOUBLE[] AS high FROM embeddings), s AS (SELECT vec_id, unnest(low) AS l, unnest(mid) AS m, unnest(high) AS h FROM e) SELECT vec_id, round(sqrt(sum((h - m) * (h - m))) + sqrt(sum((l - m) * (l - m))), 6) + 0 AS magnitude, round(sqrt(sum((h - l) * (h - l))) / (sqrt(sum((h - m) * (h - m))) + sqrt(sum((l - m) * (l - m))) + 1e-8), 6) + 0 AS clarity, round(sqrt(sum((m - (h + l) / 2) * (m - (h + l) / 2))), 6) + 0 AS curvature FROM s GROUP BY vec_id")
+@query("v_three_point", "WITH e AS (SELECT vec_id, embedding[1:22]::DOUBLE[] AS low, embedding[22:43]::DOUBLE[] AS mid, embedding[43:64]::DOUBLE[] AS high FROM embeddings), s AS (SELECT vec_id, unnest(low) AS l, unnest(mid) AS m, unnest(high) AS h FROM e) SELECT vec_id, round(sqrt(sum((h - m) * (h - m))) + sqrt(sum((l - m) * (l - m))), 6) + 0 AS magnitude, round(sqrt(sum((h - l) * (h - l))) / (sqrt(sum((h - m) * (h - m))) + sqrt(sum((l - m) * (l - m))) + 1e-8), 6) + 0 AS clarity, round(sqrt(sum((m - (h + l) / 2) * (m - (h + l) / 2))), 6) + 0 AS curvature FROM s GROUP BY vec_id")
 def v_three_point(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("v")
-    cells = vx.three_point(F.slice(v, 1, 16), F.slice(v, 17, 16), F.slice(v, 33, 16))
+    cells = vx.three_point(F.slice(v, 1, 22), F.slice(v, 22, 22), F.slice(v, 43, 22))
     return _vectors(spark, d).select("vec_id", *[r6(cells[c]).alias(c) for c in ("magnitude", "clarity", "curvature")])
 
 
@@ -397,13 +424,14 @@ def l_factor_ranking(spark: SparkSession, d: str) -> DataFrame:
     return learning.factor_ranking(daily_ic(long, "date", "actual", "pred", by=("factor",)), "factor")
 
 
-@query("l_mlp_forward", "SELECT vec_id, round(greatest(embedding[1]::DOUBLE - embedding[2]::DOUBLE + 0.1::DOUBLE, 0) * 2 - greatest(embedding[1]::DOUBLE + embedding[2]::DOUBLE, 0) + 0.5::DOUBLE, 6) + 0 AS y FROM embeddings")
+@query("l_mlp_forward", "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), h AS (SELECT vec_id, sum(CASE WHEN pos % 2 = 0 THEN x ELSE -x END) + 0.1::DOUBLE AS a, sum(x * pos / 64) AS b FROM e GROUP BY vec_id) SELECT vec_id, round(2 * greatest(a, 0) - greatest(b, 0) + 0.5::DOUBLE, 5) + 0 AS y FROM h")
 def l_mlp_forward(spark: SparkSession, d: str) -> DataFrame:
     import numpy as np
 
-    layers = [(np.array([[1.0, 1.0], [-1.0, 1.0]]), np.array([0.1, 0.0])), (np.array([[2.0], [-1.0]]), np.array([0.5]))]
-    v = F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double"))
-    return table(spark, d, "embeddings").select("vec_id", r6(learning.mlp_forward(v, layers)[0]).alias("y"))
+    pos = np.arange(64)
+    layers = [(np.stack((np.where(pos % 2 == 0, 1.0, -1.0), pos / 64), 1), np.array([0.1, 0.0])), (np.array([[2.0], [-1.0]]), np.array([0.5]))]
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", F.round(learning.mlp_forward(v, layers)[0], 5).alias("y"))
 
 
 @query("l_hash_features")
