@@ -1,26 +1,27 @@
 r"""Operator 4 [native]: line dedup by levelled sorted runs of line hashes.
 
 A line's key is the line without ``[\x20\x09-\x0D]`` at both ends and with A-Z lower-cased.  Keys are kept as
-128-bit hashes with the number of documents that hold them.  Each batch of documents adds one run, sorted
-by hash; when a level has ``fanout`` runs they are merged into one run of the next level.  Lines are then
-merge-joined with the runs: the frequent ones go from every document, the others stay.
+128-bit hashes with the number of documents that hold them.  Documents come in batches.  Each batch is counted,
+merge-anti-joined with the runs, and adds the keys that none of them has as a run of its own; its other keys have been
+met before and go to the log of repeats.  When a level is full its runs are compacted to one run of the next level,
+so a batch meets few runs.  Runs and batches are tables of equal buckets sorted by hash: their joins move nothing.
 
-With ``alike`` below 1 a frequent line stays where it stands in a neighbourhood (the lines before and after it)
-that holds more than that share of its documents, and goes everywhere else: copies keep their lines, and don't
-keep them in other documents.  A notice's inner lines have the same neighbours everywhere, so they stay; no query
-uses this.
+So every key stands in one run, with its first batch's count, and the log holds what came later.  A key's documents
+are the two together; the frequent keys' lines go from every document, the others stay.
 
 Only built-in DataFrame functions are used.  What is dropped from a text depends on the text alone, so
 drop lists are keyed by a 128-bit hash of the text; copies share one list and no group is collected.
 
 Defined results: a null or empty text is one empty line; keys shorter than ``min_chars`` code points are
 never dropped; rows that repeat each count as a document; a text that loses all lines becomes empty;
-extra columns pass through unchanged.
+extra columns pass through unchanged, but for ``n_lines`` and ``n_dropped``, which are replaced.
 """
 
 from __future__ import annotations
 
 import string
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import settle, shared_dir
 
 HASH = ["__h1", "__h2"]
-#: A run's sort key: the line and the neighbourhood that it is counted in (0: any).
-KEY = [*HASH, "__c"]
-RUN = "__h1 bigint, __h2 bigint, __c bigint, __n bigint"
+RUN = "__h1 bigint, __h2 bigint, __n bigint"
 TEXT = ["__t1", "__t2"]
 
 
@@ -47,123 +46,113 @@ def split_lines(text: Column) -> Column:
 
 
 class LineRuns:
-    """The store: ``levels[i]`` lists the run folders of level i, each sorted by hash with counts of documents."""
+    """The store: ``levels[i]`` lists the runs of level i, tables in buckets sorted by hash; ``log`` the counts of repeats."""
 
-    def __init__(self, spark: SparkSession, root: str, fanout: int = 4) -> None:
+    def __init__(self, spark: SparkSession, root: str, fanout: int = 2) -> None:
         self.spark, self.root, self.fanout = spark, root, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
-        self._made = 0
+        self.log: list[str] = []
+        self.tables: list[str] = []
 
-    def _write(self, counts: DataFrame, level: int) -> None:
-        path = f"{self.root}/run-{self._made:05d}"
-        self._made += 1
-        counts.sortWithinPartitions(*KEY).write.parquet(path)
-        self._place(path, level)
+    def _write(self, counts: DataFrame) -> str:
+        """A table of counts, each bucket sorted by hash; it lies below ``root``."""
+        name = f"tidemark_run_{uuid.uuid4().hex}"
+        counts.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", f"{self.root}/{name}").saveAsTable(name, format="parquet")
+        self.tables.append(name)
+        return name
 
-    def _place(self, path: str, level: int) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
-        if len(self.levels[level]) >= self.fanout:
-            full, self.levels[level] = self.levels[level], []
-            self._write(merge(self._read(full)), level + 1)
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*paths)
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.table(name)
 
     @property
     def runs(self) -> list[str]:
-        return [path for level in self.levels for path in level]
-
-    def add(self, counts: DataFrame) -> None:
-        """One batch's (hash, documents) as a new run of level 0."""
-        self._write(counts, 0)
-
-    def adopt(self, path: str) -> None:
-        """A sorted run that is already written."""
-        self._place(path, 0)
-
-    def merged(self) -> DataFrame:
-        return merge(self._read(self.runs)) if self.runs else self.spark.createDataFrame([], RUN)
-
-    def unseen(self, hashes: DataFrame) -> DataFrame:
-        """Merge-anti-join: those of ``hashes`` in no run."""
-        for path in self.runs:
-            hashes = hashes.join(self._read([path]).hint("merge"), HASH, "left_anti")
-        return hashes
-
-
-def merge(runs: DataFrame) -> DataFrame:
-    return runs.groupBy(*KEY).agg(F.sum("__n").alias("__n"))
-
+        return [name for level in reversed(self.levels) for name in level]
 
-def hashes(docs: DataFrame, min_chars: int, *more: Column) -> DataFrame:
-    """One row for each document and distinct line key; ``__c`` is 0."""
+    def _compact(self, level: int = 0) -> None:
+        """A full level becomes one run of the next, which may be full then itself."""
+        if len(self.levels) <= level + 1:
+            self.levels.append([])
+        if len(self.levels[level + 1]) >= self.fanout:
+            self._compact(level + 1)
+        full, self.levels[level] = self.levels[level], []
+        self.levels[level + 1].append(self._write(summed([self.read(name) for name in full])))
+
+    def unseen(self, counts: DataFrame) -> DataFrame:
+        """Merge-anti-join: the rows of ``counts`` whose key is in no run."""
+        for name in self.runs:
+            counts = counts.join(self.read(name).hint("merge"), HASH, "left_anti")
+        return counts
+
+    def seen(self, counts: DataFrame) -> list[DataFrame]:
+        """Merge-semi-joins: the rows whose key is in a run, one frame for each run."""
+        return [counts.join(self.read(name).hint("merge"), HASH, "left_semi") for name in self.runs]
+
+    def take(self, counts: DataFrame) -> DataFrame:
+        """A batch's counts, one row a key: the keys new to the store become a run (returned), the others go to the log."""
+        if len(self.levels[0]) >= self.fanout:
+            self._compact()
+        batch = self._write(counts)
+        if self.runs:
+            known, rows = self.seen(self.read(batch)), self.read(batch)
+            self.log += [self._write(part) for part in known]
+            batch = self._write(self.unseen(rows))
+        self.levels[0].append(batch)
+        return self.read(batch)
+
+    def frequent(self, least: int) -> DataFrame:
+        """The keys of at least ``least`` documents: each run's own counts and the log's, by a join without exchange of the run."""
+        if not self.runs:
+            return self.spark.createDataFrame([], RUN).select(*HASH)
+        later = summed([self.read(name) for name in self.log]).withColumnRenamed("__n", "__m") if self.log else None
+        parts = []
+        for name in self.runs:
+            run = self.read(name)
+            if later is not None:
+                run = run.join(later.hint("merge"), HASH, "left").withColumn("__n", F.col("__n") + F.coalesce("__m", F.lit(0)))
+            parts.append(run.where(F.col("__n") >= least).select(*HASH))
+        return united(parts)
+
+    def close(self) -> None:
+        """Forgets the tables; their files lie below ``root``."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def summed(parts: list[DataFrame]) -> DataFrame:
+    return united(parts).groupBy(*HASH).agg(F.sum("__n").alias("__n"))
+
+
+def key_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
+    """(h1, h2, n): how many documents hold each line key."""
     keys = F.array_distinct(F.transform(split_lines(F.col("text")), line_key))
-    rows = docs.select(*more, F.explode(keys).alias("__key")).where(F.char_length("__key") >= min_chars)
+    rows = docs.select(F.explode(keys).alias("__key")).where(F.char_length("__key") >= min_chars)
     h1, h2 = hash128(F.col("__key"))
-    return rows.withColumns({"__h1": h1, "__h2": h2, "__c": F.lit(0).cast("bigint")}).drop("__key")
-
-
-def neighbours(text: Column) -> Column:
-    """For each line its key ``k`` and ``c``, the hash of the keys before and after it."""
-    keys = F.transform(split_lines(text), line_key)
-    edge = F.array(F.lit("\n"))
-    before = F.concat(edge, F.slice(keys, F.lit(1), F.size(keys) - 1))
-    after = F.concat(F.slice(keys, F.lit(2), F.size(keys)), edge)
-    zipped = F.arrays_zip(keys.alias("k"), before.alias("p"), after.alias("s"))
-    return F.transform(zipped, lambda x: F.struct(x["k"].alias("k"), F.xxhash64(x["p"], x["s"]).alias("c")))
-
-
-def placed(docs: DataFrame, min_chars: int, *more: Column) -> DataFrame:
-    """One row for each document and distinct line key with ``__c`` 0, and one for each of its neighbourhoods there."""
-    anywhere = F.transform("__all", lambda x: F.struct(x["k"].alias("k"), F.lit(0).cast("bigint").alias("c")))
-    each = docs.select(*more, neighbours(F.col("text")).alias("__all"))
-    names = [c for c in each.columns if c != "__all"]
-    each = each.select(*names, F.explode(F.array_distinct(F.concat("__all", anywhere))).alias("__l")).where(F.char_length("__l.k") >= min_chars)
-    h1, h2 = hash128(F.col("__l.k"))
-    return each.select(*names, h1.alias("__h1"), h2.alias("__h2"), F.col("__l.c").alias("__c"))
-
-
-def ingest(docs: DataFrame, runs: LineRuns, batches: int = 4, min_chars: int = 1, alike: float = 1.0) -> None:
-    """All documents into the store in ``batches`` runs, read in one scan; a text's hash names its batch."""
-    batch = F.pmod(F.xxhash64(F.lit(2), F.col("text")), F.lit(batches)).cast("int").alias("__b")
-    rows = placed(docs, min_chars, batch) if alike < 1 else hashes(docs, min_chars, batch)
-    root = f"{runs.root}/batches"
-    counts = rows.groupBy("__b", *KEY).agg(F.count(F.lit(1)).alias("__n"))
-    counts.sortWithinPartitions("__b", *KEY).write.partitionBy("__b").parquet(root)
-    if counts_empty(runs.spark, root):
-        return
-    for row in sorted(runs.spark.read.parquet(root).select("__b").distinct().collect()):
-        runs.adopt(f"{root}/__b={row['__b']}")
-
-
-def counts_empty(spark: SparkSession, root: str) -> bool:
-    return not spark.read.schema(f"{RUN}, __b int").parquet(root).head(1)
+    return rows.select(h1.alias("__h1"), h2.alias("__h2")).groupBy(*HASH).agg(F.count(F.lit(1)).alias("__n"))
 
 
-def increment(docs: DataFrame, runs: LineRuns, min_chars: int = 1) -> DataFrame:
-    """A batch that arrives later: its line hashes that no earlier batch had (returned), its own run added."""
-    counts = settle(hashes(docs, min_chars).groupBy(*KEY).agg(F.count(F.lit(1)).alias("__n")))
-    fresh = settle(runs.unseen(counts))
-    runs.add(counts)
-    return fresh
+def batches_of(docs: DataFrame, number: int) -> Iterator[DataFrame]:
+    """A table in ``number`` batches by a hash of the text, null as empty."""
+    part = F.pmod(F.xxhash64(F.lit(2), F.coalesce(F.col("text"), F.lit(""))), F.lit(number))
+    return (docs.where(part == i) for i in range(number))
 
 
-def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1, spared: DataFrame | None = None) -> DataFrame:
-    """``docs`` with ``text`` rewritten, and ``n_lines`` and ``n_dropped`` put last; ``spared`` (KEY) stay."""
+def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1) -> DataFrame:
+    """``docs`` with ``text`` rewritten, and ``n_lines`` and ``n_dropped`` put last."""
     t1, t2 = hash128(F.coalesce(F.col("text"), F.lit("")))
-    lines = split_lines(F.col("text")) if spared is None else neighbours(F.col("text"))
-    each = docs.select(t1.alias("__t1"), t2.alias("__t2"), F.posexplode(lines).alias("__pos", "__line"))
-    key = line_key(F.col("__line")) if spared is None else F.col("__line.k")
-    each = each.withColumn("__key", key).where(F.char_length("__key") >= min_chars)
+    each = docs.select(t1.alias("__t1"), t2.alias("__t2"), F.posexplode(split_lines(F.col("text"))).alias("__pos", "__line"))
+    each = each.withColumn("__key", line_key(F.col("__line"))).where(F.char_length("__key") >= min_chars)
     h1, h2 = hash128(F.col("__key"))
-    place = [] if spared is None else [F.col("__line.c").alias("__c")]
-    each = each.select(*TEXT, "__pos", h1.alias("__h1"), h2.alias("__h2"), *place)
-    each = each.join(frequent.select(*HASH), HASH)
-    if spared is not None:
-        each = each.join(spared, KEY, "left_anti")
-    drops = each.groupBy(*TEXT).agg(F.collect_set("__pos").alias("__drop"))
+    each = each.select(*TEXT, "__pos", h1.alias("__h1"), h2.alias("__h2")).join(frequent.select(*HASH), HASH)
+    # written, so that both sides of the join below are plain exchanges, of which AQE splits a hot text's
+    drops = settle(each.groupBy(*TEXT).agg(F.collect_set("__pos").alias("__drop")))
     cols = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     # the split stays below the join, so that it is made once for each text
     cut = docs.select(*[f"`{c}`" for c in cols if c != "text"], split_lines(F.col("text")).alias("__lines"), t1.alias("__t1"), t2.alias("__t2"))
@@ -177,17 +166,14 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1, spared:
     )
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4, alike: float = 1.0) -> DataFrame:
-    """Lines whose key is found in at least ``min_docs`` documents go from every document (``alike`` < 1: see above)."""
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 3, fanout: int = 2) -> DataFrame:
+    """Lines whose key is found in at least ``min_docs`` documents go from every document."""
     runs = LineRuns(docs.sparkSession, shared_dir(docs.sparkSession), fanout)
-    ingest(docs, runs, batches, min_chars, alike)
-    found = runs.merged()
-    if alike >= 1:
-        return drop_lines(docs, settle(found.where(F.col("__n") >= min_docs).select(*HASH)), min_chars)
-    found = settle(found)
-    frequent = settle(found.where((F.col("__c") == 0) & (F.col("__n") >= min_docs)).select(*HASH, F.col("__n").alias("__all")))
-    spared = settle(found.where("__c != 0").join(frequent, HASH).where(F.col("__n") > alike * F.col("__all")).select(*KEY))
-    return drop_lines(docs, frequent, min_chars, spared)
+    for batch in batches_of(docs, batches):
+        runs.take(key_counts(batch, min_chars))
+    frequent = settle(runs.frequent(min_docs))
+    runs.close()
+    return drop_lines(docs, frequent, min_chars)
 
 
 def digest(docs: DataFrame, **settings: int) -> DataFrame:
