@@ -10,8 +10,12 @@ tokens follow by stepping back token by token from its end.
 Words in plain ASCII or Latin letters are normalised here; every other chunk goes through the vocabulary
 file's own normaliser and splitter.  Special tokens written out in a text become their ids, as in the library.
 
+Memory is bounded by the piece: a batch leaves as one output batch for each piece of documents, gathered from
+offsets, and a text longer than a piece is cut at white space, which no chunk crosses.
+
 Defined results: null and empty texts, and texts of white space, have no ids and decode to "".  Decoding joins
-the tokens by one space, as the library does for a file without a decoder.
+the tokens by one space, as the library does for a file without a decoder.  Repeated rows are encoded each on
+their own, with the same result.  Columns named like an added one are replaced; others pass through.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import functools
 import hashlib
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +32,14 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from tidemark.llm import kernel as K
-from tidemark.llm.common import annotate
-
-#: Bytes of a piece, and how many words and chunks a process remembers: what bounds a worker's memory.
-PIECE = 4 << 20
-CACHE = 150_000
+from tidemark.llm.common import annotate_pieces
+
+#: What bounds a worker's memory: bytes of a piece, bytes of output at a time, and bytes of words that a process remembers.
+PIECE = 2 << 20
+SLICE = 1 << 20
+CACHE = 32 << 20
+#: Pairs of tokens whose merging a process remembers.
+PAIRS = 250_000
 END = "</w>"
 
 
@@ -60,8 +67,6 @@ class Coder:
         vocab: dict[str, int] = spec["model"]["vocab"]
         letters = byte_letters()
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
-        #: each token's text with a space after it
-        self.strings = {i: t.encode() + b" " for t, i in vocab.items()} | {i: t + b" " for t, i in self.special.items()}
         self.inner = [vocab[c] for c in letters]
         self.final = [vocab[c + END] for c in letters]
         self.merge: dict[int, tuple[int, int]] = {}
@@ -87,16 +92,20 @@ class Coder:
         self.longest = max(map(len, [*self.inside, *self.ending]))
         self.length = {i: len(s) for i, s in self.symbols.items()}
         self.pairs: dict[int, bool] = {}
-        self.cut = re.compile(b"(" + b"|".join(map(re.escape, self.special)) + b")") if self.special else None
-        self.four = {i: i.to_bytes(4, "little") for i in self.strings}
+        by_length = sorted(self.special, key=len, reverse=True)
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, by_length)) + b")") if self.special else None
+        most = max(*vocab.values(), *self.special.values()) + 1
+        self.four = [i.to_bytes(4, "little") for i in range(most)]
         self.marks: dict[bytes | int, bytes] = {i: self.four[i] for i in self.special.values()}
-        #: the ids of words, as little-endian uint32
-        self.words: dict[bytes | int, bytes] = dict(self.marks)
-        most = max(self.strings) + 1
-        self.pool = np.frombuffer(b"".join(self.strings.get(i, b"") for i in range(most)), np.uint8)
-        self.size = np.array([len(self.strings.get(i, b"")) for i in range(most)])
+        #: the ids of words, as little-endian uint32: those met lately, and those met before these
+        self.words: dict[bytes | int, bytes] = {}
+        self.older: dict[bytes | int, bytes] = {}
+        self.held = 0
+        #: each token's text with a space after it
+        strings = {i: t.encode() + b" " for t, i in vocab.items()} | {i: t + b" " for t, i in self.special.items()}
+        self.pool = np.frombuffer(b"".join(strings.get(i, b"") for i in range(most)), np.uint8)
+        self.size = np.array([len(strings.get(i, b"")) for i in range(most)])
         self.start = np.cumsum(self.size) - self.size
-        self.chunks: dict[bytes, bytes] = {}
 
     @functools.cached_property
     def library(self) -> Tokenizer:
@@ -125,7 +134,7 @@ class Coder:
     def learn(self, fresh: set[bytes]) -> None:
         """Depth first over the trie of the new words."""
         inside, ending, length, pairs, longest = self.inside.get, self.ending.get, self.length, self.pairs, self.longest
-        four, words = self.four, self.words
+        four, words, held = self.four, self.words, 0
         last, before = [0], b""
         for word in sorted(fresh):
             n = len(word) - 1
@@ -150,14 +159,16 @@ class Coder:
                 at -= length[t]
             ids.reverse()
             words[word] = b"".join(ids)
+            held += 200 + n + 4 * len(ids)
             before = word
+        self.held += held
 
     def split(self, chunk: bytes) -> list[bytes | int]:
-        """A chunk's words in bytes; special tokens as ids, which ``words`` always holds."""
+        """A chunk's words in bytes; special tokens as ids."""
         low = chunk.lower()
         if low.isalpha():
             return [low]
-        if self.cut and b"<|" in chunk and len(parts := self.cut.split(chunk)) > 1:
+        if self.cut and len(parts := self.cut.split(chunk)) > 1:
             return [w for p in parts for w in ([self.special[p]] if p in self.special else self.split(p) if p else [])]
         if low.isascii() and PRINTABLE.fullmatch(low):
             return ASCII_WORDS.findall(low)
@@ -169,24 +180,28 @@ class Coder:
 
     def encode(self, chunks: list[bytes]) -> list[bytes]:
         """Each chunk's ids as little-endian uint32."""
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
-        if len(self.words) > CACHE:
-            self.words = dict(self.marks)
-        if len(self.pairs) > 10 * CACHE:
+        if self.held > CACHE // 2:  # words met lately become the older ones, whose turn then ends
+            self.words, self.older, self.held = {}, self.words, 0
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
-        words, known = self.words, self.chunks
-        split = {c: self.split(c) for c in chunks if c not in known}
-        self.learn({w for parts in split.values() for w in parts}.difference(words))
-        for chunk, parts in split.items():
-            known[chunk] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
-        return [known[c] for c in chunks]
-
-    def shown(self, ids: bytes, block: int = 200_000) -> bytes:
-        """The tokens joined by one space, gathered from the pool of token strings a block at a time."""
-        every = np.frombuffer(ids, "<u4")
-        parts = [self.pool[K.ragged(self.start[some], self.size[some])].tobytes() for some in (every[i : i + block] for i in range(0, len(every), block))]
-        return b"".join(parts)[:-1]
+        words, older, marks = self.words, self.older, self.marks
+        split = [self.split(c) for c in chunks]
+        fresh = {w for parts in split for w in parts}
+        fresh.difference_update(words, marks)
+        again = fresh.intersection(older)
+        for w in again:
+            ids = words[w] = older[w]
+            self.held += 200 + len(w) + len(ids)
+        self.learn(fresh - again)
+        return [words[p[0]] if len(p) == 1 and p[0] in words else b"".join([marks[w] if w in marks else words[w] for w in p]) for p in split]
+
+    def gathered(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the tokens' texts, each with a space after it."""
+        return self.pool[K.ragged(self.start[ids], self.size[ids])]
+
+    def shown(self, ids: np.ndarray, block: int = 200_000) -> bytes:
+        """The tokens joined by one space."""
+        return b"".join(self.gathered(ids[i : i + block]).tobytes() for i in range(0, len(ids), block))[:-1]
 
 
 PRINTABLE = re.compile(rb"[!-~]+")
@@ -204,44 +219,70 @@ def coder(path: str) -> Coder:
     return _CODERS[path]
 
 
-def each_doc(column: pa.Array, path: str, visit: Callable[[bytes, bytes], None]) -> None:
-    """Calls ``visit(ids, decoded)`` for each document."""
-    c = coder(path)
-    for p in K.pieces(column, PIECE):
-        start, end, first = K.words(p)
-        _, at, which = np.unique(K.hash_spans(p.data, start, end), return_index=True, return_inverse=True)
-        raw = p.data.tobytes()
-        known = c.encode([raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            ids = b"".join([known[j] for j in which[a:b].tolist()])
-            visit(ids, c.shown(ids))
+def piece_ids(c: Coder, p: K.Piece) -> tuple[np.ndarray, np.ndarray]:
+    """The ids (uint32) of a piece, and where each document's start."""
+    start, end, first = K.words(p)
+    _, at, which = np.unique(K.hash_spans(p.data, start, end), return_index=True, return_inverse=True)
+    raw = p.data.tobytes()
+    known = c.encode([raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+    number = np.fromiter(map(len, known), np.int64, len(known)) // 4
+    ids = np.frombuffer(b"".join(known), "<u4")
+    begin = (np.cumsum(number) - number)[which]
+    number = number[which]
+    return ids[K.ragged(begin, number)], np.concatenate(([0], np.cumsum(number)))[first]
+
+
+def slices(c: Coder, p: K.Piece) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(lo, hi, ids, offsets) for runs of documents of a piece with about SLICE bytes; a longer text is put together from its cuts."""
+    if len(p.data) > 2 * PIECE:
+        ids = np.concatenate([piece_ids(c, part)[0] for part in K.cuts(p, PIECE)])
+        yield p.lo, p.hi, ids, np.array([0, len(ids)])
+        return
+    ids, off = piece_ids(c, p)
+    lo, n = 0, p.hi - p.lo
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(p.off, p.off[lo] + SLICE, "right")) - 1)
+        yield p.lo + lo, p.lo + hi, ids[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+        lo = hi
+
+
+def texts(c: Coder, ids: np.ndarray, off: np.ndarray) -> pa.Array:
+    """Each document's tokens joined by one space."""
+    if len(ids) > PIECE:  # one long text
+        return pa.array([c.shown(ids).decode()], pa.large_string())
+    data = c.gathered(ids)
+    at = np.concatenate(([0], np.cumsum(c.size[ids])))[off]
+    full = np.diff(at) > 0
+    data = np.delete(data, at[1:][full] - 1)
+    at = at - np.concatenate(([0], np.cumsum(full)))
+    return pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256)."""
     path = path or vocabulary()
 
-    def one(batch: pa.RecordBatch) -> list:
-        out: list[tuple[int, str, str]] = []
-        each_doc(batch.column("text"), path, lambda i, s: out.append((len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(s).hexdigest())))
-        return [pa.array([r[0] for r in out], pa.int64()), [r[1] for r in out], [r[2] for r in out]]
+    def one(p: K.Piece) -> Iterator[tuple[int, int, list]]:
+        c = coder(path)
+        for lo, hi, ids, off in slices(c, p):
+            parts = [ids[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
+            yield lo, hi, [np.diff(off), [hashlib.sha256(x.tobytes()).hexdigest() for x in parts], [hashlib.sha256(c.shown(x)).hexdigest() for x in parts]]
 
-    return annotate(docs.select("doc_id", "text"), one, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["doc_id"])
+    return annotate_pieces(docs.select("doc_id", "text"), one, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["doc_id"], PIECE)
 
 
 def encode(docs: DataFrame, path: str | None = None, carry: list[str] | None = None) -> DataFrame:
     """The carried columns (all if None), ``ids`` (array of int) and ``decoded`` (text)."""
     path = path or vocabulary()
 
-    def one(batch: pa.RecordBatch) -> list:
-        ids: list[np.ndarray] = []
-        shown: list[bytes] = []
-        each_doc(batch.column("text"), path, lambda i, s: (ids.append(np.frombuffer(i, "<u4").astype(np.int32)), shown.append(s)))
-        return [pa.array(ids, pa.list_(pa.int32())), pa.array(shown, pa.binary()).cast(pa.string())]
+    def one(p: K.Piece) -> Iterator[tuple[int, int, list]]:
+        c = coder(path)
+        for lo, hi, ids, off in slices(c, p):
+            values = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids.view(np.int32)))
+            yield lo, hi, [values, texts(c, ids, off).cast(pa.string())]
 
-    return annotate(docs, one, "ids array<int>, decoded string", carry)
+    return annotate_pieces(docs, one, "ids array<int>, decoded string", carry, PIECE)
 
 
 def decode(ids: list[int], path: str | None = None) -> str:
-    c = coder(path or vocabulary())
-    return c.shown(np.array(ids, "<u4").tobytes()).decode("utf-8", "replace")
+    return coder(path or vocabulary()).shown(np.array(ids, np.int64)).decode("utf-8", "replace")

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.kernel import release
+from tidemark.llm.kernel import Piece, pieces, release
+from tidemark.staging import folder
 
 WS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,13 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; only where that is unset (tests) a local folder is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.path.join("/tmp", f"tidemark-{os.getpid()}")
-        spark.sparkContext.setCheckpointDir(root)
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-    return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    """A fresh path below the checkpoint folder that all machines share; see ``tidemark.staging``."""
+    return folder(spark)
 
 
 def settle(df: DataFrame, *cluster_by: str) -> DataFrame:
@@ -45,11 +37,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def one_text(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """(__id, __text, *rest of ``picked``): one text for each picked id, the one with the least hash.
+
+    ``picked`` has few rows and is broadcast; repeated ids are reduced by a grouped minimum that starts in the scan, so an
+    id that many rows have sends one text from each task.
+    """
+    rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).where(F.col("__text").isNotNull())
+    found = rows.join(F.broadcast(picked), "__id")
+    rest = [c for c in picked.columns if c != "__id"]
+    best = found.groupBy("__id", *rest).agg(F.min(F.struct(F.xxhash64("__text").alias("h"), F.col("__text").alias("t"))).alias("b"))
+    return best.select("__id", F.col("b.t").alias("__text"), *rest)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, seed: int = 7) -> DataFrame:
-    """(text, y) of at most ``limit`` labelled rows that are not held out, chosen by a hash of the id.
+    """(__id, __text, __y) of at most ``limit`` labelled ids that are not held out, chosen by a hash of the id.
 
-    ``limit`` bounds the broadcast side: at most that many (id, label) pairs.  Null ids, labels and
-    texts are left out; an id with several labels takes the largest.
+    ``limit`` bounds the broadcast side and the result: one text for each id.  ``__id`` is a hash of the id, whatever its
+    type.  Null ids, labels and texts are left out; an id with several labels takes the largest.
     """
     picked = (
         labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__y"))
@@ -59,8 +64,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, seed: i
         .orderBy(F.xxhash64("__id", F.lit(seed)), "__id")
         .limit(limit)
     )
-    rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).where(F.col("__text").isNotNull())
-    return rows.join(F.broadcast(picked), "__id").select("__id", "__text", "__y")
+    return one_text(docs, picked).select(F.xxhash64("__id", F.lit(seed)).alias("__id"), "__text", "__y")
+
+
+def unlabelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, seed: int = 7) -> DataFrame:
+    """(__id, __text, __y) of at most ``limit`` ids without a label that are not held out, with a null ``__y``."""
+    marked = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("__id"))
+    ids = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("__id"))
+    picked = ids.join(marked, "__id", "left_anti").distinct().orderBy(F.xxhash64("__id", F.lit(seed)), "__id").limit(limit)
+    return one_text(docs, picked).select(F.xxhash64("__id", F.lit(seed)).alias("__id"), "__text", F.lit(None).cast("int").alias("__y"))
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -99,6 +111,28 @@ def annotate(df: DataFrame, func: Callable[[pa.RecordBatch], list], added: str,
     return map_batches(df, one, StructType([*keep, *new.fields]))
 
 
+def annotate_pieces(df: DataFrame, func: Callable[[Piece], Iterator[tuple[int, int, list]]], added: str, carry: list[str] | None, size: int) -> DataFrame:
+    """As ``annotate``, for columns made from ``text`` a piece at a time.
+
+    ``func`` yields (lo, hi, columns) for runs of the batch's rows, each of which leaves as a batch of its own, so
+    that what is made from a large batch is never held at once.
+    """
+    new = StructType.fromDDL(added)
+    keep = [f for f in df.schema.fields if f.name not in new.names and (carry is None or f.name in carry)]
+    at, text = [df.columns.index(f.name) for f in keep], df.columns.index("text")
+    names = [*(f.name for f in keep), *new.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in pieces(batch.column(text), size):
+                for lo, hi, made in func(p):
+                    own = [batch.column(i).slice(lo, hi - lo) for i in at]
+                    yield pa.RecordBatch.from_arrays([*own, *(x if isinstance(x, pa.Array) else pa.array(x) for x in made)], names=names)
+                release()
+
+    return scanned(df, run, StructType([*keep, *new.fields]))
+
+
 def arrow_rows(df: DataFrame) -> pa.Table:
     """A bounded result as an Arrow table on the driver."""
     return df.toArrow()

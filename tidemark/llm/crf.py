@@ -10,7 +10,8 @@ logistic model of single lines, fitted to their documents' labels, tags each lin
 is fitted to these tags by gradient ascent on the likelihood (forward-backward).
 
 Defined results: null and empty texts have no words and fail the base rules; a document without lines has a
-content share of 0; without labels every line counts as content.  Repeated rows are judged alike.
+content share of 0; without labels every line counts as content.  Repeated rows are judged alike; of a labelled id's
+repeated rows one text is learned.  Ids may have any type.  Columns named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -70,7 +71,6 @@ def page(p: K.Piece) -> Page:
     start, end, first = K.words(p)
     h = K.hash_spans(p.data, start, end)
     chars = K.code_points(p.data, start, end)
-    total = {k: np.concatenate(([0], np.cumsum(K.lut(c)[p.data], dtype=np.int64))) for k, c in {"symbol": SYMBOLS, "upper": bytes(range(65, 91)), "digit": bytes(range(48, 58)), "bang": "!", "bar": "|", "mark": ".!?:"}.items()}
     ls, le, _ = K.runs(p.data != 10, p.off)
     lw = np.searchsorted(start, le) - np.searchsorted(start, ls)
     ls, le, lw = ls[lw > 0], le[lw > 0], lw[lw > 0]
@@ -79,7 +79,8 @@ def page(p: K.Piece) -> Page:
     upto = np.concatenate(([0], np.cumsum(chars)))
     size = (upto[w0 + lw] - upto[w0]).astype(float)
     longest = np.maximum.reduceat(chars, w0) if len(w0) else np.zeros(0, np.int64)
-    share = {k: (t[le] - t[ls]) / size for k, t in total.items()}
+    kinds = {"symbol": SYMBOLS, "upper": bytes(range(65, 91)), "digit": bytes(range(48, 58)), "bang": "!", "bar": "|", "mark": ".!?:"}
+    share = {k: K.count_in(K.lut(c), p.data, ls, le) / size for k, c in kinds.items()}
     last = end[w0 + lw - 1] - 1 if len(w0) else np.zeros(0, np.int64)
     closed = K.lut(".!?:")[p.data[last]].astype(bool) if len(w0) else np.zeros(0, bool)
     again, notice = np.zeros(len(ls), bool), np.zeros(len(ls), bool)
@@ -104,7 +105,7 @@ def page(p: K.Piece) -> Page:
         np.ones(len(ls)), share["symbol"] > 0, share["symbol"] > 0.05, share["symbol"] > 0.15, share["upper"] > 0.3, share["upper"] > 0.6, share["bang"] > 0.03, share["bang"] > 0.1,
         share["bar"] > 0.02, share["digit"] > 0.2, lw < 3, lw < 8, closed, longest > 30, again, notice,
     ]).astype(np.float32)
-    return Page(np.diff(first), K.segment_sum(chars, first), K.segment_sum(K.lut(SYMBOLS)[p.data].astype(np.int64), p.off), K.segment_sum(again.astype(np.int64), first_line), repeated_words(h, first), f, lw, first_line)
+    return Page(np.diff(first), K.segment_sum(chars, first), K.count_in(K.lut(SYMBOLS), p.data, p.off[:-1], p.off[1:]), K.segment_sum(again.astype(np.int64), first_line), repeated_words(h, first), f, lw, first_line)
 
 
 @dataclass(frozen=True)

@@ -21,6 +21,7 @@ _LIBC = None
 with contextlib.suppress(OSError, AttributeError):
     _LIBC = ctypes.CDLL("libc.so.6")
     _LIBC.malloc_trim  # noqa: B018  (looked up now, so that another libc is noticed here)
+    _LIBC.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed: arrays of 1 MB and more go back to the system when they are freed
 
 PIECE = 1 << 20
 LONG_WORD = 64
@@ -95,6 +96,21 @@ def pieces(column: pa.Array | pa.ChunkedArray, size: int = PIECE) -> Iterator[Pi
         lo = hi
 
 
+def cuts(p: Piece, size: int) -> Iterator[Piece]:
+    """A piece of one document in parts of about ``size`` bytes, each cut before a white-space byte, as parts of one text."""
+    at, n = 0, len(p.data)
+    while at < n:
+        end = min(n, at + size)
+        while end < n:  # the next white space, looked for a block at a time
+            found = np.flatnonzero(_SPACE[p.data[end : end + size]])
+            if len(found):
+                end += int(found[0])
+                break
+            end = min(n, end + size)
+        yield Piece(p.lo, p.hi, p.data[at:end], np.array([0, end - at]))
+        at = end
+
+
 def runs(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends (exclusive) of the runs of True, cut at document bounds, and the first run of each document."""
     n = len(mask)
@@ -115,9 +131,19 @@ def words(p: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return runs(~_SPACE[p.data], p.off)
 
 
+def count_in(table: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many bytes of each span are marked in ``table`` (0 or 1 for each byte); spans follow each other.
+
+    One byte of working memory for each byte of text: no prefix sums.
+    """
+    if not len(start):
+        return np.zeros(0, np.int64)
+    edges = np.column_stack((start, end)).ravel()
+    return np.where(end > start, np.add.reduceat(np.append(table[data], 0).astype(np.uint8), edges, dtype=np.int64)[::2], 0)
+
+
 def code_points(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0], np.cumsum(_LEAD[data], dtype=np.int64)))
-    return total[end] - total[start]
+    return count_in(_LEAD, data, start, end)
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
