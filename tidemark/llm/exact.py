@@ -9,10 +9,11 @@ length-shifted chunk hashes.
 Texts with equal fingerprints are then compared chunk by chunk: a grouped minimum and maximum of each
 chunk's bytes, which Spark combines before the shuffle, are equal just where all copies agree.  A class of
 fingerprints that fails is split by the sha256 of its texts.  Which rows to compare is decided in the second scan
-by a Bloom filter of repeated fingerprints, of ``bloom`` bits whatever the input, and exactly after it.
+by a Bloom filter of repeated fingerprints, sized by their number up to 8 MB, and exactly after it.  Huge texts are
+normalised, hashed and compared in blocks in both scans.
 
 Defined results: null and empty texts are equal to each other; the smallest doc_id of a group stays (null ids
-last); of repeated rows with that id one stays.
+last); of repeated rows with that id one stays.  Ids may have any type that has an order; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -106,27 +107,50 @@ def unpacked(f: int) -> tuple[int, int]:
     return f >> 31, f & P
 
 
+def chunks(p: K.Piece, block: int = 16 * CHUNK) -> Iterator[np.ndarray]:
+    """The normal form of a piece of one document in runs of CHUNK bytes, made a block at a time."""
+    rest, space = np.zeros(0, np.uint8), False
+    for at in range(0, len(p.data), block):
+        own = p.data[at : at + block]
+        data, _ = normal(K.Piece(p.lo, p.hi, own, np.array([0, len(own)])))
+        if space and len(data) and data[0] == 0x20:  # the white space before the block goes on in it
+            data = data[1:]
+        space = bool(K._SPACE[own[-1]])
+        rest = np.concatenate((rest, data))
+        whole = len(rest) // CHUNK * CHUNK
+        for a in range(0, whole, CHUNK):
+            yield rest[a : a + CHUNK]
+        rest = rest[whole:]
+    if len(rest):
+        yield rest
+
+
 def prints(docs: DataFrame, huge: int) -> DataFrame:
     """(doc_id, __uid, sha, __len, __f1, __f2) for each row, settled."""
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("__uid"), "text")
-    fields = "doc_id bigint, __uid bigint, sha string, __len bigint, __f1 bigint, __f2 bigint, __part int, __chunk binary"
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    fields = f"doc_id {kind}, __uid bigint, sha string, __len bigint, __f1 bigint, __f2 bigint, __part int, __chunk binary"
     names = ["doc_id", "__uid", "sha", *PRINT, "__part", "__chunk"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in K.pieces(batch.column(2), min(K.PIECE, huge)):
-                data, off = normal(p)
-                size = np.diff(off)
                 ids = batch.slice(p.lo, p.hi - p.lo)
-                sha = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(off[:-1], off[1:], strict=True)]
-                if len(size) == 1 and size[0] > huge:  # a huge text is a piece of its own
-                    for k, a in enumerate(range(0, int(size[0]), CHUNK)):
-                        chunk = pa.array([data[a : a + CHUNK].tobytes()], pa.binary())
-                        yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), pa.array(sha), pa.array(size), pa.array([0]), pa.array([0]), pa.array([k], pa.int32()), chunk], names=names)
+                if len(p.data) > huge:  # a huge text is a piece of its own: its sha and length first, then its chunks
+                    sha, total = hashlib.sha256(), 0
+                    for chunk in chunks(p):
+                        sha.update(chunk.tobytes())
+                        total += len(chunk)
+                    for k, chunk in enumerate(chunks(p)):
+                        cells = [pa.array([sha.hexdigest()]), pa.array([total]), pa.array([0]), pa.array([0]), pa.array([k], pa.int32()), pa.array([chunk.tobytes()], pa.binary())]
+                        yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), *cells], names=names)
                     continue
+                data, off = normal(p)
+                size = np.diff(off)
+                hashes = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(off[:-1], off[1:], strict=True)]
                 f1, f2 = packed(doc_hashes(data, off))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.column(0), ids.column(1), pa.array(sha), pa.array(size), pa.array(f1), pa.array(f2), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())], names=names
+                    [ids.column(0), ids.column(1), pa.array(hashes), pa.array(size), pa.array(f1), pa.array(f2), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())], names=names
                 )
 
     seen = settle(scanned(rows, scan, fields))
@@ -136,7 +160,7 @@ def prints(docs: DataFrame, huge: int) -> DataFrame:
     return whole.unionByName(settle(combined(seen.where(F.col("__part").isNotNull()))))
 
 
-def combined(chunks: DataFrame) -> DataFrame:
+def combined(parts: DataFrame) -> DataFrame:
     """Chunk rows of huge texts: hashed in parallel, shifted by the length before each, and summed modulo P."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -149,26 +173,35 @@ def combined(chunks: DataFrame) -> DataFrame:
         names = ["doc_id", "__uid", "sha", "__len"]
         return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(c, pa.int64()) for c in cells)], names=[*names, "a", "b", "c", "d"])
 
-    spread = chunks.repartition(chunks.sparkSession.sparkContext.defaultParallelism * 4, "__uid", "__part")
-    hashed = map_batches(spread, one, "doc_id bigint, __uid bigint, sha string, __len bigint, a bigint, b bigint, c bigint, d bigint")
+    spread = parts.repartition(parts.sparkSession.sparkContext.defaultParallelism * 4, "__uid", "__part")
+    hashed = map_batches(spread, one, f"doc_id {parts.schema['doc_id'].dataType.simpleString()}, __uid bigint, sha string, __len bigint, a bigint, b bigint, c bigint, d bigint")
     total = hashed.groupBy("doc_id", "__uid", "sha", "__len").agg(*[(F.sum(c) % P).alias(c) for c in "abcd"])
     return total.select("doc_id", "__uid", "sha", "__len", (F.shiftleft("a", 31) + F.col("b")).alias("__f1"), (F.shiftleft("c", 31) + F.col("d")).alias("__f2"))
 
 
+#: Bits of a Bloom filter at least and at most: 8 kB and 8 MB.  Beyond what the largest serves, more texts pass it to the exact join.
+BITS = (1 << 16, 1 << 26)
+
+
+def bits_for(keys: int) -> int:
+    """Sixteen bits a key, as a power of two within BITS."""
+    return min(BITS[1], max(BITS[0], 1 << (16 * max(1, keys) - 1).bit_length()))
+
+
 def bloom_filter(repeated: DataFrame, bits: int) -> np.ndarray:
-    """The Bloom filter of fingerprints: 8 partial bitmaps of ``bits`` bits come to the driver."""
+    """The Bloom filter of fingerprints as ``bits`` packed bits: 8 partial filters come to the driver."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.zeros(bits, bool)
+        field = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for at in slots(*(batch.column(c).to_numpy() for c in PRINT), bits):
-                field[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(field).tobytes()], pa.binary())], names=["b"])
+                np.bitwise_or.at(field, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([field.tobytes()], pa.binary())], names=["b"])
 
     total = np.zeros(bits // 8, np.uint8)
-    for row in scanned(repeated.select(*PRINT).repartition(8), build, "b binary").collect():
+    for row in scanned(repeated.select(*PRINT).repartition(8), build, "b binary").toLocalIterator():
         total |= np.frombuffer(row["b"], np.uint8)
-    return np.unpackbits(total).astype(bool)
+    return total
 
 
 def slots(length: np.ndarray, f1: np.ndarray, f2: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,37 +210,49 @@ def slots(length: np.ndarray, f1: np.ndarray, f2: np.ndarray, bits: int) -> tupl
     return (a % U(bits)).astype(np.int64), (b % U(bits)).astype(np.int64)
 
 
-def mismatched(docs: DataFrame, repeated: DataFrame, bits: int) -> DataFrame:
-    """Fingerprints whose texts differ in some chunk."""
-    packed_field = np.packbits(bloom_filter(repeated, bits))
+def passing(field: np.ndarray, length: np.ndarray, f1: np.ndarray, f2: np.ndarray) -> np.ndarray:
+    """The indices of fingerprints that the filter lets through."""
+    hit = np.ones(len(f1), bool)
+    for at in slots(length, f1, f2, 8 * len(field)):
+        hit &= (field[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return np.flatnonzero(hit)
+
+
+def mismatched(docs: DataFrame, repeated: DataFrame, bits: int, huge: int) -> DataFrame:
+    """Fingerprints whose texts differ in some chunk.  A huge text is hashed and sent on chunk by chunk."""
+    field = bloom_filter(repeated, bits)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.unpackbits(packed_field).astype(bool)
         for batch in batches:
-            for p in K.pieces(batch.column(0)):
-                data, off = normal(p)
-                f1, f2 = packed(doc_hashes(data, off))
-                size = np.diff(off)
-                one, two = slots(size, f1, f2, bits)
-                for d in np.flatnonzero(field[one] & field[two]):
-                    raw = data[off[d] : off[d + 1]]
-                    cut = [raw[a : a + CHUNK].tobytes() for a in range(0, max(1, len(raw)), CHUNK)]
-                    k = len(cut)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([size[d]] * k, pa.int64()), pa.array([f1[d]] * k, pa.int64()), pa.array([f2[d]] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(cut, pa.binary())],
-                        names=[*PRINT, "__part", "__chunk"],
-                    )
+            for p in K.pieces(batch.column(0), min(K.PIECE, huge)):
+                if len(p.data) > huge:
+                    got, total = (0,) * len(BASES), 0
+                    for chunk in chunks(p):
+                        got = join(got, total, tuple(int(x) for x in chunk_hashes(chunk, np.array([0]), np.array([len(chunk)]))[:, 0]))
+                        total += len(chunk)
+                    size, (f1, f2) = np.array([total]), packed(np.array(got, U)[:, None])
+                    parts: dict[int, Iterator[np.ndarray]] = {0: chunks(p)}
+                else:
+                    data, off = normal(p)
+                    f1, f2 = packed(doc_hashes(data, off))
+                    size = np.diff(off)
+                    parts = {}
+                for d in passing(field, size, f1, f2).tolist():
+                    raw = parts.get(d) or (data[off[d] : off[d + 1]][a : a + CHUNK] for a in range(0, max(1, int(size[d])), CHUNK))
+                    for k, chunk in enumerate(raw):
+                        cells = [pa.array([x], pa.int64()) for x in (int(size[d]), int(f1[d]), int(f2[d]))]
+                        yield pa.RecordBatch.from_arrays([*cells, pa.array([k], pa.int32()), pa.array([chunk.tobytes()], pa.binary())], names=[*PRINT, "__part", "__chunk"])
 
     fields = "__len bigint, __f1 bigint, __f2 bigint, __part int, __chunk binary"
     ends = scanned(docs.select("text"), scan, fields).groupBy(*PRINT, "__part").agg(F.min("__chunk").alias("__lo"), F.max("__chunk").alias("__hi"))
     return ends.where(F.col("__lo") != F.col("__hi")).select(*PRINT).distinct().join(repeated.select(*PRINT), PRINT, "left_semi")
 
 
-def exact_groups(docs: DataFrame, huge: int = 16 << 20, bloom: int = 1 << 23) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) for every row of ``docs``."""
+def exact_groups(docs: DataFrame, huge: int = 16 << 20, bloom: int | None = None) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256) for every row of ``docs``.  ``bloom``: bits, by the repeats if None."""
     rows = prints(docs, huge)
     repeated = settle(rows.groupBy(*PRINT).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1))
-    torn = settle(mismatched(docs, repeated, bloom).withColumn("__torn", F.lit(True)))
+    torn = settle(mismatched(docs, repeated, bloom or bits_for(repeated.count()), huge).withColumn("__torn", F.lit(True)))
     if torn.head(1):
         rows = rows.join(torn, PRINT, "left").withColumn("__split", F.when(F.col("__torn"), F.col("sha")).otherwise("")).drop("__torn")
     else:

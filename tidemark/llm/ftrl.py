@@ -7,7 +7,8 @@ their collapsed sparse vectors, not their texts, come to the driver.  Weights ha
 bounds what goes to the executors.
 
 Defined results: null and empty texts have no features and score by the bias alone; without any
-labelled row all weights are 0 and every score is 0.5.  Repeated rows are scored alike.
+labelled row all weights are 0 and every score is 0.5.  Repeated rows are scored alike; of a labelled id's
+repeated rows one text is learned.  Ids may have any type.  Columns named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -101,7 +102,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
     order = np.lexsort((K.mix(np.asarray(got["id"].to_numpy()).astype(np.uint64)),))
     idx, val, y = (got[c].combine_chunks() for c in ("idx", "val", "y"))
     rows = [(idx[int(i)].values.to_numpy(), val[int(i)].values.to_numpy().astype(float), float(y[int(i)].as_py())) for i in order]
-    return ftrl(rows, bits, alpha, beta, l1, l2, epochs)
+    model = ftrl(rows, bits, alpha, beta, l1, l2, epochs)
+    del got, idx, val, y, rows
+    K.release()
+    return model
 
 
 def scores(column: pa.Array, model: Model) -> np.ndarray:

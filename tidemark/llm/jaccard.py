@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import kernel as K
 from tidemark.llm.common import scanned, settle
 from tidemark.llm.components import components
-from tidemark.llm.exact import bloom_filter, slots
+from tidemark.llm.exact import bits_for, bloom_filter, passing
 from tidemark.llm.linedup import hash128
 
 U = np.uint64
@@ -64,10 +64,11 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def counts(docs: DataFrame, k: int, bits: int) -> np.ndarray:
-    """Shingle counts by the leading ``bits`` of the hash over all documents: one vector, whatever the input.
+def ranks(docs: DataFrame, k: int, bits: int) -> np.ndarray:
+    """How frequent shingles are over all documents, by the leading ``bits`` of the hash: the log of their count in a byte.
 
-    Each task adds up its own vector; vectors are then summed FAN at a time, block by block.
+    Each task adds up its own vector; vectors are then summed FAN at a time, block by block, and the driver sees
+    the sums of one block at a time: it holds one byte for each counter, whatever the input.
     """
     width = 1 << max(0, bits - 6)
 
@@ -94,15 +95,16 @@ def counts(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     rows = scanned(docs.select("text"), count, "block int, n binary").withColumn("part", F.spark_partition_id())
     for _ in range(max(1, math.ceil(math.log(max(2, docs.rdd.getNumPartitions()), FAN)))):
         rows = rows.withColumn("part", (F.col("part") / FAN).cast("int")).groupBy("block", "part").applyInArrow(add, "block int, part int, n binary")
-    total = np.zeros(1 << bits, np.int64)
+    out = np.zeros(1 << bits, np.uint8)
     for row in rows.toLocalIterator():
-        total[row["block"] * width : (row["block"] + 1) * width] += vector(bytes(row["n"]))
-    return total
+        out[row["block"] * width : (row["block"] + 1) * width] = np.minimum(np.log2(vector(bytes(row["n"])) + 1), 31)
+    K.release()
+    return out
 
 
 def index(docs: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
     """One row for each document: its size, set key, group and prefix; settled."""
-    rank = np.minimum(np.log2(counts(docs, k, bits) + 1), 31).astype(np.uint8)
+    rank = ranks(docs, k, bits)
     t1, t2 = hash128(F.coalesce(F.col("text"), F.lit("")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +125,7 @@ def index(docs: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
                 names=["doc_id", "t1", "t2", "n", "k1", "k2", "gid", "prefix"],
             )
 
-    fields = "doc_id bigint, t1 bigint, t2 bigint, n bigint, k1 bigint, k2 bigint, gid bigint, prefix array<bigint>"
+    fields = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t1 bigint, t2 bigint, n bigint, k1 bigint, k2 bigint, gid bigint, prefix array<bigint>"
     return settle(scanned(docs.select("doc_id", t1.alias("t1"), t2.alias("t2"), "text"), scan, fields))
 
 
@@ -294,19 +296,18 @@ def across(fetched: DataFrame, parts: DataFrame, k: int, percent: int) -> DataFr
     return scanned(rows.repartition("cc", "block", "slice").sortWithinPartitions("cc", "block", "slice"), scan, "a bigint, b bigint")
 
 
-def fetch(docs: DataFrame, wanted: DataFrame, bloom: int) -> DataFrame:
+def fetch(docs: DataFrame, wanted: DataFrame, bloom: int | None) -> DataFrame:
     """The ``wanted`` rows (t1, t2, sid, ...) with their texts, from a second scan behind a Bloom filter of their keys."""
     keys = wanted.select(F.lit(0).cast("bigint").alias("__len"), F.col("t1").alias("__f1"), F.col("t2").alias("__f2"))
-    field = np.packbits(bloom_filter(keys, bloom))
+    field = bloom_filter(keys, bloom or bits_for(keys.count()))
     t1, t2 = hash128(F.coalesce(F.col("text"), F.lit("")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.unpackbits(field).astype(bool), set()
+        seen = set()
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            one, two = slots(np.zeros(len(a), np.int64), a, b, bloom)
             hit = []
-            for r in np.flatnonzero(bits[one] & bits[two]).tolist():
+            for r in passing(field, np.zeros(len(a), np.int64), a, b).tolist():
                 key = (int(a[r]), int(b[r]))
                 if key not in seen:  # copies in one task go out once, while they are remembered
                     if len(seen) > 200_000:
@@ -320,11 +321,14 @@ def fetch(docs: DataFrame, wanted: DataFrame, bloom: int) -> DataFrame:
     return wanted.join(texts, ["t1", "t2"]).drop("t1", "t2").dropDuplicates(["sid"])
 
 
-def classes(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = 22, block: int = 400_000, pivots: int = 8, leaders: int = 3, share: float = 0.1, bloom: int = 1 << 23) -> DataFrame:
-    """(doc_id, t1, t2, n, sid, root) for every row; ``root`` is null for an empty set.  t1, t2: hash of the text."""
+def classes(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = 22, block: int = 400_000, pivots: int = 8, leaders: int = 3, share: float = 0.1, bloom: int | None = None) -> DataFrame:
+    """(doc_id, t1, t2, n, sid, root, best) for every row; ``root`` is null for an empty set.  t1, t2: hash of the text.
+
+    ``best`` is the class's row of the smallest doc_id, null last, as (none, id, t1, t2).
+    """
     rows = index(docs.select("doc_id", "text"), k, percent, bits)
-    sets = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("t1", "t2")).alias("t"), F.min("gid").alias("gid"))
-    sets = settle(sets.select("k1", "k2", "n", "t.t1", "t.t2", "gid").withColumn("sid", F.monotonically_increasing_id()))
+    sets = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("t1", "t2")).alias("t"), F.min("gid").alias("gid"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "t1", "t2")).alias("best"))
+    sets = settle(sets.select("k1", "k2", "n", "t.t1", "t.t2", "gid", "best").withColumn("sid", F.monotonically_increasing_id()))
     tokens = shared_tokens(rows)
     cluster = settle(clusters(tokens, leaders, share, percent))
     if cluster.limit(BROADCAST + 1).count() <= BROADCAST:  # 16 bytes a row; beyond it the joins below shuffle both sides
@@ -342,22 +346,28 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = 22, bloc
         more = settle(across(fetch(docs, large, bloom), parts, k, percent))
         if more.head(1):
             parts = settle(components(inner.unionByName(more)).withColumnRenamed("node", "sid"))
-    named = sets.join(parts, "sid", "left").select("k1", "k2", "n", "sid", F.coalesce("root", "sid").alias("root"))
+    # the least row of a class is found over its sets, so that the rows of a class never meet
+    joined = sets.join(parts, "sid").select("k1", "k2", "n", "sid", "root", "best")
+    best = settle(joined.groupBy("root").agg(F.min("best").alias("best")))
+    if best.limit(BROADCAST + 1).count() <= BROADCAST:
+        best = F.broadcast(best)
+    alone = sets.join(parts.select("sid"), "sid", "left_anti").select("k1", "k2", "n", "sid", F.col("sid").alias("root"), "best")
+    # written, so that both sides of the join below are plain exchanges, of which AQE splits a hot set's
+    named = settle(joined.drop("best").join(best, "root").select(*alone.columns).unionByName(alone))
     return rows.drop("prefix", "gid").join(named, ["k1", "k2", "n"], "left").drop("k1", "k2")
 
 
 def digest(docs: DataFrame, k: int = 4, percent: int = 85, **settings: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document."""
-    got = settle(classes(docs, k, percent, **settings))
-    least = got.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
-    return got.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    got = classes(docs, k, percent, **settings)
+    return got.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("best.id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **settings: int) -> DataFrame:
     """One row of each class stays, that of the smallest doc_id (null last); rows with an empty set all stay."""
     got = settle(classes(docs, **settings))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "t1", "t2")).alias("best")
-    best = got.where(F.col("root").isNotNull()).groupBy("root").agg(first).select(F.col("best.id").alias("__id"), F.col("best.t1").alias("__t1"), F.col("best.t2").alias("__t2"))
+    own = F.col("root").isNotNull() & F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("t1") == F.col("best.t1")) & (F.col("t2") == F.col("best.t2"))
+    best = got.where(own).select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).distinct()
     t1, t2 = hash128(F.coalesce(F.col("text"), F.lit("")))
     keyed = docs.withColumns({"__a": t1, "__b": t2})
     # the id is compared beside the join's keys, so that dropping repeated rows needs no second exchange of the texts
