@@ -5,13 +5,13 @@ weights in turn; their shares of all sizes are capped at ``most`` times the sour
 shared again by weight until no target is above.  Each document of a source expects target / size copies:
 with these prefix-summed and one offset added, a document is emitted once for each integer boundary crossed.
 
-Within a source documents are ordered by size class (four leading bits) and then by md5 of the id, so
+Within a source documents are ordered by size class (four leading bits) and then by md5 of id and text, so
 every stretch of the prefix sum has like sizes and the taken words come near the target.  The prefix sum
 is made from counts by (source, class, leading hex digits of the md5): enough digits that no window holds
 more than about ``window`` rows, however hot a source is.
 
-Defined results: a null text has size 0; null is a source of its own; equal rows may share their copies
-either way, with the same rows out; a source of size 0 takes nothing; no rows give no rows.
+Defined results: a null text has size 0; null is a source of its own; rows equal in id and text may share their
+copies either way, with the same rows out; null and repeated ids are told apart by their texts; a source of size 0 takes nothing; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ from tidemark.llm.common import WORD, settle
 
 
 def with_size(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    """``docs`` with ``__size`` and ``__md5``, of the id and the text: what orders documents of one size class."""
+    own = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    return docs.withColumns({"__size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "__md5": F.md5(own.cast("binary"))})
 
 
 def _keys(sized: DataFrame) -> DataFrame:
@@ -35,7 +37,6 @@ def _keys(sized: DataFrame) -> DataFrame:
         "__class": F.expr(f"shiftleft(shiftright(__size, {low}), {low})"),
         "__s": F.coalesce("source", F.lit("")),
         "__none": F.col("source").isNull(),
-        "__md5": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")),
     })
 
 
@@ -69,7 +70,7 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 5), 16, 10).cast("double") / float(1 << 20)
 
 
-def copies(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: int = 11, window: int = 50_000) -> DataFrame:
+def copies(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: int = 11, window: int = 5_000) -> DataFrame:
     """``sized`` (with ``__size``) and, last: ``__words`` of its source, ``__target``, ``__copies``."""
     keyed = _keys(sized)
     key = ["__s", "__none", "__class"]
@@ -108,8 +109,8 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
-k AS (SELECT *, (size >> greatest(length(bin(size)) - 4, 0)) << greatest(length(bin(size)) - 4, 0) AS class, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM d),
+WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+k AS (SELECT *, (size >> greatest(length(bin(size)) - 4, 0)) << greatest(length(bin(size)) - 4, 0) AS class FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS words FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w, 3 * words AS cap FROM s),
 o AS (SELECT *, (sum(words) OVER () - sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS UNBOUNDED PRECEDING) + cap)::BIGINT AS lef,
