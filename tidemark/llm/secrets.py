@@ -108,8 +108,15 @@ def fit(words: list[str], number: int = 6000, false: float = 0.0005, seed: int =
 
 
 def train(docs: DataFrame, limit: int = 300, most_words: int = 20_000) -> Model:
-    """``limit`` documents and ``most_words`` of their distinct words of 3 to 40 letters bound what comes to the driver."""
-    sample = docs.where(F.col("text").isNotNull()).select("text", F.xxhash64(F.col("doc_id"), F.lit(3)).alias("h")).orderBy("h").limit(limit)
+    """``limit`` texts and ``most_words`` of their distinct words of 3 to 40 letters bound what comes to the driver.
+
+    The texts with the least hashes of (id, text) are named first, by hashes alone, and fetched then, so the sample is
+    the same in every run, whatever ids repeat or are null.
+    """
+    h1, h2 = F.xxhash64(F.col("doc_id"), F.lit(3)), F.xxhash64(F.col("text"), F.lit(3))
+    some = docs.where(F.col("text").isNotNull())
+    picked = some.select(h1.alias("h1"), h2.alias("h2")).orderBy("h1", "h2").limit(limit).distinct()
+    sample = some.select("text", h1.alias("h1"), h2.alias("h2")).join(F.broadcast(picked), ["h1", "h2"])
     found = sample.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=-])([A-Za-z]{3,40})(?![A-Za-z0-9+/_=-])"), 1)).alias("w"))
     rows = found.select(F.lower("w").alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(most_words)
     return fit(arrow_rows(rows)["w"].to_pylist())

@@ -8,7 +8,7 @@ starts with, whose host and path are longest together (equal: the longer host, t
 takes the default verdict.
 
 The sweep runs in key ranges cut at quantiles of a bounded sample of (key, salt): a hot host is cut by the salt
-of its pages into several ranges, and a rule goes to each range that its interval meets.  Ranges are sorted
+of its pages (a hash of the row and its place, so that equal rows differ too) into several ranges, and a rule goes to each range that its interval meets.  Ranges are sorted
 by Spark and swept as a stream; the stack holds the rules around one key.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no rule, as rules name
@@ -60,7 +60,7 @@ def judge(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str]], d
         rules = spark.createDataFrame(list(rules), "host string, path string, verdict string")
     own = [f for f in pages.schema.fields if f.name not in ("host", "path", "rule", "verdict")]
     salted = pages.select(*[f"`{f.name}`" for f in own])
-    salted = salted.withColumns({"__host": host(F.col("url")), "__path": path(F.col("url"))}).withColumns({"__key": key(F.col("__host")), "__salt": F.xxhash64(*[f"`{f.name}`" for f in own if f.dataType.simpleString() in ("bigint", "int", "string")])})
+    salted = salted.withColumns({"__host": host(F.col("url")), "__path": path(F.col("url"))}).withColumns({"__key": key(F.col("__host")), "__salt": F.xxhash64(*[f"`{f.name}`" for f in own if f.dataType.simpleString() in ("bigint", "int", "string")], F.monotonically_increasing_id())})
     number = max(1, -(-pages.count() // per_range))
     cuts = ranges(salted, number, sample) if number > 1 else []
     names = [f.name for f in own]
