@@ -644,7 +644,10 @@ def test_op10_over_a_table(spark, docs):
     texts = {r.doc_id: r.text for r in docs.collect()}
     got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in secrets.digest(docs).collect()}
     assert got == {i: naive_spans(t or "", model) for i, t in texts.items()}
-    assert any(x[4] for x in got.values()) and secrets.digest(docs.limit(0)).count() == 0
+    planted = "token: abcdefgh12 AKIA" + "Z9" * 8 + " " + "0f" * 20 + " Xq7Lw2Zk9Vb4Nt8Rj3Mp6Hd1Gs5Yc0Fa"
+    row = secrets.scan(frame(spark, [planted]), model, ["doc_id"]).first()
+    assert (row.n_assign, row.n_access, row.n_hex, row.base_sha256, row.spans) == naive_spans(planted, model) and row.spans.count(":") == 8
+    assert secrets.digest(docs.limit(0)).count() == 0
     twice = docs.selectExpr("cast(null as bigint) doc_id", "text").unionByName(docs.select("doc_id", "text"))
     assert secrets.digest(twice).count() == 2 * len(texts)
 
