@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import math
+import re
 
 import numpy as np
 import pytest
@@ -605,6 +606,26 @@ def test_contamination_by_short_passages(spark, tmp_path):
     assert got == {i: sum(x in t for t in texts) for i, x in enumerate(items)}
 
 
+def test_contamination_of_repeated_and_many_passages(spark, tmp_path):
+    from tidemark.plans import catalog
+
+    word = lambda i: f"w{i}"
+    texts = [(1, "a b c d e f g h"), (1, "x a b c d e f y"), (2, " a\tb c d e f"), (3, None), (4, "a b c"), (5, ""), (None, "a b c d e f"), (6, " ".join(map(word, range(60)))), (7, "za b c d e fz a b c d e f")]
+    few = [(1, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, "b c d"), (4, "w1 w2 w3 w4 w5 w6 w7"), (5, "a\tb c d e f")]
+    many = few + [(10 + i, " ".join(word(i + j) for j in range(6))) for i in range(10_001)]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for items in (few, many):
+        spark.createDataFrame(items, "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+        found = catalog.QUERIES["x_contamination"](spark, str(tmp_path))
+        # the words of a text are cut once, and not for each run of its words
+        assert not re.search(r"lambdafunction\([^\n]*(split|regexp_extract_all)\(text", plan(found))
+        want = {i: 0 for i, _ in items}
+        for i, x in items[: 100 + len(few)]:
+            want[i] += sum(n is not None and t is not None and x is not None and x in t for n, t in texts)
+        got = found.collect()
+        assert {r.item_id: r.n_documents for r in got} == want and len(got) == len(want)
+
+
 def test_plan_shapes(spark, sf_dir):
     from tidemark.plans import catalog
     from tidemark.plans.base import panel

@@ -198,19 +198,28 @@ def x_contamination(spark: SparkSession, d: str) -> DataFrame:
     Passages of less than six words may end inside the fifth, so they are looked for in every text.
     """
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("head"))
+    texts = docs(spark, d).where("doc_id is not null").select("doc_id", "text")
     cut = lambda c: F.regexp_extract_all(c, F.lit(r"[^\x20\x09-\x0D]+"), 0)
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 4), " ")))
+    run = lambda w, i: F.xxhash64(*(F.get(w, i + j) for j in range(4)))
     long = F.coalesce(F.size(cut("head")), F.lit(0)) >= 6
     # the second to fifth words of a passage of six or more are whole words in any text that holds it
-    probe = b.where(long).select("item_id", "head", F.xxhash64(F.array_join(F.slice(cut("head"), 2, 4), " ")).alias("k"))
-    # runs go to the join without their texts, so what moves grows with a text's length and not with its square
-    met = docs(spark, d).select("doc_id", F.explode(F.array_distinct(runs(cut("text")))).alias("k")).join(F.broadcast(probe) if probe.limit(10_001).count() <= 10_000 else probe, "k")
-    found = met.select("doc_id", "item_id", "head").join(docs(spark, d).select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("head"))).select("item_id", "doc_id")
-    short = b.where(~long & F.col("head").isNotNull())
+    probe = b.where(long).groupBy("item_id", "head").agg(F.count(F.lit(1)).alias("times")).withColumn("k", run(cut("head"), F.lit(1)))
+    # words are a column of their own: a lambda would cut the text anew for each run; empty ends and short texts make runs that nothing meets
+    words = texts.withColumn("w", F.split("text", r"[\x20\x09-\x0D]+"))
+    runs = words.select("doc_id", "text", F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0))), lambda i: run(F.col("w"), i))).alias("ks"))
+    each = F.explode_outer("ks").alias("k")  # the inner explode would get a filter on its size, with the cutting in the lambda again
+    inside = F.contains("text", F.col("head"))
+    if probe.limit(10_001).count() <= 10_000:
+        # the text stays where it is: joined and checked in the stage that reads it
+        found = runs.select("text", each).join(F.broadcast(probe), "k").where(inside).select("item_id", "times")
+    else:
+        # runs go to the join without their texts, so what moves grows with a text's length and not with its square
+        met = runs.select("doc_id", each).join(probe, "k").drop("k").distinct()
+        found = met.join(texts, "doc_id").where(inside).select("item_id", "times")
+    short = b.where(~long & F.col("head").isNotNull()).select("item_id", "head", F.lit(1).cast("long").alias("times"))
     if n := short.limit(10_001).count():
-        found = found.unionByName(docs(spark, d).join(F.broadcast(short) if n <= 10_000 else short, F.contains("text", F.col("head"))).select("item_id", "doc_id"))
-    hits = found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n"))
-    return b.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_documents"))
+        found = found.unionByName(texts.join(F.broadcast(short) if n <= 10_000 else short, inside).select("item_id", "times"))
+    return b.select("item_id", F.lit(0).cast("long").alias("times")).unionByName(found).groupBy("item_id").agg(F.sum("times").alias("n_documents"))
 
 
 @query("x_conversation_fold", "SELECT conv_id, count(*) AS turns, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS transcript FROM conversations GROUP BY conv_id")
