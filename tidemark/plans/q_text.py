@@ -454,12 +454,10 @@ def l_hash_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query("l_word2vec")
 def l_word2vec(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
+    from tidemark.operators import wordvectors
 
-    rows = _words(spark, d)
-    model = Word2Vec(vectorSize=16, minCount=5, seed=7, inputCol="w", outputCol="v", maxIter=1).fit(rows)
-    return model.transform(rows).select("doc_id", vector_to_array("v").alias("v"))
+    rows = docs(spark, d).select("doc_id", "text")
+    return wordvectors.encode(rows, "doc_id", "text", *wordvectors.fit(rows, "text", size=16, least=5, seed=7))
 
 
 @query("w_rank_window_rows", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice) AS position FROM lineitem")
